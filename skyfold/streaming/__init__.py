@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator of this library is a batch operator.
+
+The covered feature set has no stream, watermark or stateful operator; "rolling window" always means a
+cross-validation window (see ``skyfold.operators.splits``).
+"""
