@@ -86,11 +86,12 @@ def explode_causes(df: DataFrame, columns: Sequence[str], alias: str = "cause")
 
 
 def thousands_label(value: Column | str) -> Column:
-    """``200000`` -> ``200K``, ``1500`` -> ``1.5K``, below 1000 unchanged."""
+    """``200000`` -> ``200K``, ``1500`` -> ``1.5K``, below 1000 unchanged; ``x.25K`` and ``x.75K`` go to the even digit."""
     v = _c(value).cast("long")
+    tenths = F.when(F.pmod(v, F.lit(500)) == 250, F.bround(v / 1000, 1)).otherwise(v / 1000)
     return (
         F.when((v >= 1000) & (F.pmod(v, F.lit(1000)) == 0), F.format_string("%dK", F.floor(v / 1000)))
-        .when(v >= 1000, F.format_string("%.1fK", v / 1000))
+        .when(v >= 1000, F.format_string("%.1fK", tenths))
         .otherwise(v.cast("string"))
     )
 
