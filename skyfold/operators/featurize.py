@@ -150,10 +150,21 @@ def cardinalities(model: PipelineModel, fixed: Mapping[str, int] | None = None)
     return found | {c: n for c, n in (fixed or {}).items() if c in found}
 
 
-def flat_export(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], flags: Sequence[str], label: str) -> DataFrame:
-    """Plain numeric columns for training outside Spark: ``_num`` double, ``_cat`` int, ``_bin`` float, ``target``."""
+def flat_export(
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    flags: Sequence[str],
+    label: str,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Plain numeric columns for training outside Spark: ``_num`` double, ``_cat`` int, ``_bin`` float, ``target``.
+
+    ``keep`` names columns, such as ids, to pass through.
+    """
     scaled = vector_to_array("_scaled")
     return df.select(
+        *keep,
         *[F.get(scaled, F.lit(i)).alias(f"{c}_num") for i, c in enumerate(numeric)],
         *[F.col(f"{c}_idx2").cast("int").alias(f"{c}_cat") for c in categorical],
         *[F.col(c).cast("float").alias(f"{c}_bin") for c in flags],
