@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.catalog.base import legs, query, table
+from skyfold.functions.clock import ntz
 from skyfold.functions.labels import composite_id, label_codes, order_by_category, split_coordinates
 from skyfold.operators import relational as R
 from skyfold.operators.quality import wide_to_long
@@ -53,7 +52,7 @@ def keyed_layout_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def split_partition_read(spark: SparkSession, sf: str) -> DataFrame:
     """Both sides of a hold-out in one partitioned table, one side read back by pruning."""
     orders = table(spark, sf, "orders")
-    early = F.col("o_orderdate") < F.lit(dt.datetime(1999, 1, 1)).cast("timestamp_ntz")
+    early = F.col("o_orderdate") < ntz("1999-01-01")
     path = scratch_path(spark, "splits")
     S.write_splits(orders.filter(early), orders.filter(~early), path)
     return S.read_split(spark, path, "train").select("o_orderkey", "o_totalprice")
@@ -66,8 +65,7 @@ def split_partition_read(spark: SparkSession, sf: str) -> DataFrame:
 def date_range_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Both ends count: midnight of the last day is kept."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    lo, hi = (F.lit(dt.datetime(y, 1, 1)).cast("timestamp_ntz") for y in (1996, 1998))
-    return orders.filter(F.col("o_orderdate").between(lo, hi))
+    return orders.filter(F.col("o_orderdate").between(ntz("1996-01-01"), ntz("1998-01-01")))
 
 
 @query(

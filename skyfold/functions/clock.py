@@ -8,13 +8,18 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EPOCH = dt.datetime(1970, 1, 1)
+EPOCH = "1970-01-01 00:00:00"
+
+
+def ntz(text: str) -> Column:
+    """A zone-less timestamp literal."""
+    return F.lit(text).cast("timestamp_ntz")
 
 
 def epoch_seconds(ts: Column | str) -> Column:
     """Whole seconds since 1970 for a zone-less or zoned timestamp, whatever the session zone is."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("SECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.date_trunc("SECOND", ts))
+    return F.timestamp_diff("SECOND", ntz(EPOCH), F.date_trunc("SECOND", ts))
 
 
 def clean_clock(hhmm: Column | str) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyfold.functions.clock import epoch_seconds
 from skyfold.operators.ordered import previous_event
@@ -52,8 +53,13 @@ class FillPolicy:
 
     values: Mapping[str, float]
 
+    def covered(self, df: DataFrame) -> list[str]:
+        """Columns of ``df`` whose nulls the policy replaces; a number does not fill a text column."""
+        kinds = {f.name: isinstance(f.dataType, T.StringType) for f in df.schema.fields}
+        return [c for c, v in self.values.items() if v is not None and kinds.get(c) == isinstance(v, str)]
+
     def apply(self, df: DataFrame) -> DataFrame:
-        present = {c: v for c, v in self.values.items() if c in df.columns and v is not None}
+        present = {c: self.values[c] for c in self.covered(df)}
         return df.fillna(present) if present else df
 
 
@@ -81,14 +87,17 @@ def clean_nulls(
 ) -> tuple[DataFrame, list[str], DataFrame]:
     """Filled frame, columns still holding nulls, and a report of nulls per column before and after.
 
-    The report also says whether nulls were expected in the column.
+    The report also says whether nulls were expected in the column. One pass counts the nulls; what a
+    fill leaves over follows from it.
     """
-    before = null_profile(df).select("column_name", F.col("null_count").alias("nulls_before"))
-    filled = fit_fill(df, zero, medians, constants, accuracy).apply(df)
-    after = null_profile(filled).select("column_name", F.col("null_count").alias("nulls_after"))
-    report = before.join(after, "column_name").withColumn("expected", F.col("column_name").isin(list(expected)))
-    still = report.filter(F.col("nulls_after") > 0).select("column_name").orderBy("column_name")
-    return filled, [r[0] for r in still.collect()], report
+    policy = fit_fill(df, zero, medians, constants, accuracy)
+    counts = [(r["column_name"], r["null_count"]) for r in null_profile(df).collect()]
+    covered, wanted = set(policy.covered(df)), set(expected)
+    rows = [(c, n, 0 if c in covered else n, c in wanted) for c, n in counts]
+    report = df.sparkSession.createDataFrame(
+        rows, "column_name string, nulls_before bigint, nulls_after bigint, expected boolean"
+    )
+    return policy.apply(df), sorted(c for c, _, after, _ in rows if after), report
 
 
 def repair_label(df: DataFrame, label: str, actual: str, planned: str, limit: float = 15) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.functions.clock import EPOCH
+from skyfold.functions.clock import EPOCH, ntz
 from skyfold.session import shuffle_width
 
 
@@ -37,7 +37,7 @@ def as_number(df: DataFrame, col: str) -> Column:
     """An order-preserving double of a numeric, date or timestamp column."""
     kind = df.schema[col].dataType
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col(col)).cast("double")
+        return F.timestamp_diff("MICROSECOND", ntz(EPOCH), F.col(col)).cast("double")
     return F.col(col).cast("double")
 
 
