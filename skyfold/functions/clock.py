@@ -32,20 +32,14 @@ def clock_on(date: Column | str, hhmm: Column | str) -> Column:
     """Zone-less timestamp of an HHMM clock on a date; null when either is missing or no valid clock."""
     date = F.col(date) if isinstance(date, str) else date
     value = clean_clock(hhmm)
-    return F.try_make_timestamp_ntz(
-        F.year(date),
-        F.month(date),
-        F.dayofmonth(date),
-        F.floor(value / 100).cast("int"),
-        F.pmod(value, F.lit(100)).cast("int"),
-        F.lit(0).cast("int"),
-    )
+    hour, minute = F.floor(value / 100).cast("int"), F.pmod(value, F.lit(100)).cast("int")
+    valid = value.between(0, 2359) & (minute < 60)
+    return F.when(valid, date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute))
 
 
 def clock_hour(hhmm: Column | str) -> Column:
-    """First two digits of the zero-padded clock, so 2400 stays 24."""
-    value = (F.col(hhmm) if isinstance(hhmm, str) else hhmm).cast("int")
-    return F.substring(F.lpad(value.cast("string"), 4, "0"), 1, 2).cast("int")
+    """Hour of an HHMM clock, the first two of its four digits, so 2400 stays 24."""
+    return F.floor((F.col(hhmm) if isinstance(hhmm, str) else hhmm).cast("int") / 100).cast("int")
 
 
 def hour_block(hhmm: Column | str) -> Column:
@@ -86,25 +80,37 @@ def local_clock_to_utc(
     """
     d, nxt = F.col(date).cast("date"), F.date_add(F.col(date).cast("date"), 1)
     late_past_midnight = (F.col(dep) < F.col(sched_dep)) & (F.col(dep_delay) > 0)
-    dep_date = F.when(late_past_midnight | (F.col(dep) == 2400), nxt).otherwise(d)
     arr_rolls = (F.col(arr) < F.col(dep)) | (F.col(arr) == 2400)
-    arr_date = F.when(arr_rolls, F.date_add(dep_date, 1)).otherwise(dep_date if corrected else d)
     sched_arr_rolls = (F.col(sched_arr) < F.col(sched_dep)) | (F.col(sched_arr) == 2400)
-    sched_dep_date = F.when(F.col(sched_dep) == 2400, nxt).otherwise(d) if corrected else d
+    # Dates, local times and UTC times are separate projections: each value is computed once and the
+    # generated code stays small enough to be compiled.
+    dates = {
+        "_dep_date": F.when(late_past_midnight | (F.col(dep) == 2400), nxt).otherwise(d),
+        "_sched_arr_date": F.when(sched_arr_rolls, nxt).otherwise(d),
+        "_sched_dep_date": F.when(F.col(sched_dep) == 2400, nxt).otherwise(d) if corrected else d,
+    }
+    stays = F.col("_dep_date") if corrected else d
+    arr_date = {"_arr_date": F.when(arr_rolls, F.date_add("_dep_date", 1)).otherwise(stays)}
     local = {
-        "DEP": (clock_on(dep_date, dep), origin_zone),
-        "ARR": (clock_on(arr_date, arr), dest_zone),
-        "CRS_DEP": (clock_on(sched_dep_date, sched_dep), origin_zone),
-        "CRS_ARR": (clock_on(F.when(sched_arr_rolls, nxt).otherwise(d), sched_arr), dest_zone),
+        "_dep": clock_on("_dep_date", dep),
+        "_arr": clock_on("_arr_date", arr),
+        "_sched_dep": clock_on("_sched_dep_date", sched_dep),
+        "_sched_arr": clock_on("_sched_arr_date", sched_arr),
+    }
+    utc = {
+        "DEP_DATETIME_UTC": to_utc("_dep", origin_zone),
+        "ARR_DATETIME_UTC": to_utc("_arr", dest_zone),
+        "CRS_DEP_DATETIME_UTC": to_utc("_sched_dep", origin_zone),
+        "CRS_ARR_DATETIME_UTC": to_utc("_sched_arr", dest_zone),
     }
-    utc = {f"{name}_DATETIME_UTC": to_utc(at, zone) for name, (at, zone) in local.items()}
     hours = {
         "CRS_ARR_HOUR": clock_hour(sched_arr),
         "ARR_HOUR": clock_hour(arr),
         "CRS_DEP_HOUR": clock_hour(sched_dep),
         "DEP_HOUR": clock_hour(dep),
     }
-    return df.withColumns(utc | hours)
+    out = df.withColumns(dates).withColumns(arr_date).withColumns(local).withColumns(utc).withColumns(hours)
+    return out.drop(*dates, *arr_date, *local)
 
 
 def _nth_weekday(year: int, month: int, weekday: int, n: int) -> dt.date:
