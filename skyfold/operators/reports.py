@@ -145,8 +145,8 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     lo = known.agg(F.min(col)).scalar()
     hi = known.agg(F.max(col)).scalar()
     width = (hi - lo) / bins
-    place = F.least(F.floor((F.col(col) - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
-    counts = count_by(known.select(F.coalesce(place, F.lit(0)).cast("int").alias("bin")), "bin")
+    place = F.coalesce(F.floor((F.col(col) - lo) / F.nullif(width, F.lit(0.0))), F.lit(0))
+    counts = count_by(known.select(F.least(place, F.lit(bins - 1)).cast("int").alias("bin")), "bin")
     return counts.withColumns({"bin_from": lo + F.col("bin") * width, "bin_to": lo + (F.col("bin") + 1) * width})
 
 
