@@ -234,12 +234,13 @@ _ROUNDS = 10
 
 
 def _rank_sql(rounds: int = _ROUNDS) -> str:
-    """Unrolled power iteration; every place has routes both ways, so nothing dangles."""
+    """Unrolled power iteration; places without outgoing routes spread their rank evenly."""
     head = f"""{_EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
     flow AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM edges),
     cnt AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT node, 1.0::DOUBLE / n AS r FROM nodes, cnt)"""
     for i in range(rounds):
-        head += f""", r{i + 1} AS (SELECT nodes.node, 0.15 / any_value(n) + 0.85 * coalesce(sum(r * p), 0) AS r
+        head += f""", r{i + 1} AS (SELECT nodes.node, 0.15 / any_value(n) + 0.85 * coalesce(sum(r * p), 0) + 0.85 / any_value(n) *
+      coalesce((SELECT sum(r) FROM r{i} WHERE node NOT IN (SELECT src FROM edges)), 0) AS r
       FROM nodes CROSS JOIN cnt LEFT JOIN flow ON flow.dst = nodes.node LEFT JOIN r{i} ON r{i}.node = flow.src GROUP BY 1)"""
     return head
 
@@ -297,8 +298,9 @@ def graph_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_NODE_SQL} SELECT m.node AS "Airport", round(r, 8) AS origin_pagerank, CAST(o * o AS DOUBLE) AS "OutDegree",
-      round(r, 8) AS dest_pagerank, CAST(i * i AS DOUBLE) AS "InDegree" FROM m""",
+    f"""WITH {_NODE_SQL} SELECT m.node AS "Airport", round(CASE WHEN o > 0 THEN r END, 8) AS origin_pagerank,
+      CAST(o * o AS DOUBLE) AS "OutDegree", round(CASE WHEN i > 0 THEN r END, 8) AS dest_pagerank,
+      CAST(i * i AS DOUBLE) AS "InDegree" FROM m""",
     legs=True,
 )
 def airport_importance(spark: SparkSession, sf: str) -> DataFrame:
