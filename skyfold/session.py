@@ -71,5 +71,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` written as parquet below the shared folder and read back.
+
+    The choice for wide tables that are read more than once: later scans read only the columns they
+    need and know the size, which a checkpoint of whole rows does not offer.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
