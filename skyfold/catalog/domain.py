@@ -14,6 +14,7 @@ from skyfold.functions.labels import sector_label, signed_log
 from skyfold.operators import graph as G
 from skyfold.operators import splits as SP
 from skyfold.plans import eda
+from skyfold.plans.enrich import holiday_dates
 
 # ---------------------------------------------------------------- coded text
 
@@ -178,6 +179,7 @@ def local_clock_utc_corrected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HOLIDAYS = C.us_holidays(range(1995, 2003))
+_HOLIDAYS_SQL = "VALUES " + ", ".join(f"(DATE '{d}')" for d in holiday_dates())
 
 
 @query(

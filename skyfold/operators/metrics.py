@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from skyfold.operators.ordered import totals_by_value
 
@@ -106,10 +107,16 @@ EVAL_SCHEMA = (
 
 
 def cv_eval(preds: DataFrame, label: str, digits: int | None = 4) -> dict[str, float | int]:
-    """F2, PR-AUC, precision, recall, confusion counts and more of one set of predictions."""
+    """F2, PR-AUC, precision, recall, confusion counts and more of one set of predictions.
+
+    Scores are kept (three narrow columns) while the metrics read them, so the model runs once.
+    """
     scored = with_score(preds.select(F.col(label), "prediction", "probability")).select(label, "prediction", "score")
-    known = scored.filter(F.col(label).isNotNull())
-    row = confusion(known, label).first().asDict() | ranking_metrics(known, "score", label).first().asDict()
+    known = scored.filter(F.col(label).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        row = confusion(known, label).first().asDict() | ranking_metrics(known, "score", label).first().asDict()
+    finally:
+        known.unpersist()
     names = T.StructType.fromDDL(EVAL_SCHEMA).names
     return {
         n: round(row[n], digits) if isinstance(row[n], float) and digits is not None else row[n] for n in names

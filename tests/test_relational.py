@@ -90,3 +90,8 @@ def test_profiles(spark):
     dup = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     assert Q.duplicate_rows(dup).first().asDict() == {"total_rows": 3, "distinct_rows": 2, "duplicate_rows": 1}
     assert [r[1] for r in Q.distinct_counts(dup, ["x"], rsd=0.05).collect()] == [2]
+
+
+def test_literal_rows_and_fold_ids(spark):
+    df = S.literal_rows(spark, [(1, "a"), (1, "b"), (2, "c")], "fold int, name string")
+    assert rows(S.fold_ids(df)) == [(1,), (2,)]
