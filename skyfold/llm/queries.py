@@ -22,6 +22,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+from skyfold.llm.ctw import score  # noqa: E402
 from skyfold.llm.mixing import MIX_SQL, mix_report  # noqa: E402
 from skyfold.llm.secrets import find_secrets  # noqa: E402
 from skyfold.llm.shards import shard_documents  # noqa: E402
@@ -40,6 +41,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
 
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under context-tree weighting, beside the unigram base."""
+    return score(documents(spark, sf_dir))
+
+
 @query("op4_source_mixing", MIX_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
