@@ -23,6 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 from skyfold.llm.ctw import score  # noqa: E402
+from skyfold.llm.jaccard import jaccard_groups  # noqa: E402
 from skyfold.llm.mixing import MIX_SQL, mix_report  # noqa: E402
 from skyfold.llm.secrets import find_secrets  # noqa: E402
 from skyfold.llm.shards import shard_documents  # noqa: E402
@@ -59,6 +60,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(documents(spark, sf_dir), vocabulary())
 
 
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard_groups(documents(spark, sf_dir), 4, 85)
+
+
 @query("op10_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""

@@ -50,8 +50,6 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, fresh: list[bytes]) -> None:
-        if len(self.words) + len(fresh) > self.kept:
-            self.words.clear()
         if len(self.pieces) > self.kept:
             self.pieces.clear()
         words, pieces, plain = self.words, self.pieces, []
@@ -96,6 +94,9 @@ class WordEncoder:
             if len(fresh) > self.kept // 4:  # one giant text: no use in keeping its words
                 out.append(self._ids(text.decode()))
                 continue
+            if len(self.words) + len(fresh) > self.kept:
+                self.words.clear()
+                fresh = set(split)
             if fresh:
                 self._learn(list(fresh))
             out.append(b"".join([self.words[w] for w in split]))
