@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None):
 from skyfold.llm.ctw import score  # noqa: E402
 from skyfold.llm.jaccard import jaccard_groups  # noqa: E402
 from skyfold.llm.mixing import MIX_SQL, mix_report  # noqa: E402
+from skyfold.llm.quality import JUDGE_SQL, judge  # noqa: E402
 from skyfold.llm.secrets import find_secrets  # noqa: E402
 from skyfold.llm.shards import shard_documents  # noqa: E402
 from skyfold.llm.tokens import encode_and_read  # noqa: E402
@@ -66,6 +67,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(documents(spark, sf_dir), 4, 85)
 
 
+@query("op8_quality_rules", JUDGE_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every document by voting rules of estimated accuracy."""
+    return judge(documents(spark, sf_dir))
+
+
 @query("op10_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
