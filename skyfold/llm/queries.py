@@ -23,7 +23,9 @@ def query(name: str, sql: str | None = None):
 
 
 from skyfold.llm.ctw import score  # noqa: E402
+from skyfold.llm.decontaminate import contaminated  # noqa: E402
 from skyfold.llm.jaccard import jaccard_groups  # noqa: E402
+from skyfold.llm.langid import identify  # noqa: E402
 from skyfold.llm.mixing import MIX_SQL, mix_report  # noqa: E402
 from skyfold.llm.quality import JUDGE_SQL, judge  # noqa: E402
 from skyfold.llm.secrets import find_secrets  # noqa: E402
@@ -49,6 +51,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a conditional random field over its words."""
+    return identify(documents(spark, sf_dir))
+
+
 @query("op4_source_mixing", MIX_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
@@ -73,6 +81,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
 
+@query("op9_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark."""
+    return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 @query("op10_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
