@@ -30,6 +30,7 @@ from skyfold.llm.mixing import MIX_SQL, mix_report  # noqa: E402
 from skyfold.llm.quality import JUDGE_SQL, judge  # noqa: E402
 from skyfold.llm.secrets import find_secrets  # noqa: E402
 from skyfold.llm.shards import shard_documents  # noqa: E402
+from skyfold.llm.templates import LINES_SQL, line_report  # noqa: E402
 from skyfold.llm.tokens import encode_and_read  # noqa: E402
 
 
@@ -69,6 +70,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(documents(spark, sf_dir), vocabulary())
 
 
+@query("op6_line_dedup", LINES_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines of recurring templates."""
+    return line_report(documents(spark, sf_dir))
+
+
 @query("op7_jaccard_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
