@@ -249,7 +249,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         seg = table.column("seg")[0].as_py()
-        grams, counts, _, keys, tally = _distinct(table)
+        grams, counts, _, keys, tally = _distinct(segments.unpacked(table))
         return pa.concat_tables(
             [
                 segments.asked_rows(seg, grams, counts, gram_bucket(grams, buckets)),
@@ -279,6 +279,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFrame:
     )
 
     def apply(table: pa.Table, got: pa.Table) -> pa.Table:
+        table = segments.unpacked(table)
         grams, _, names, keys, _ = _distinct(table)
         bucket = np.array(got.column("bucket").to_pylist(), np.int64)
         bits = segments.answers_of(got.filter(pa.array(bucket < buckets)), grams, gram_bucket(grams, buckets), np.float64)

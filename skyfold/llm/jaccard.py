@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.llm import segments
-from skyfold.llm.common import ship
+from skyfold.llm.common import ship, whole_text
 from skyfold.llm.components import components
 from skyfold.session import stored
 
@@ -82,12 +82,12 @@ def shared_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     ship(docs.sparkSession)
     total = segments.text_bytes(docs)
     buckets = segments.bucket_count(total)
-    rows = segments.segmented(docs, total, F.xxhash64("text").alias("tie"))
+    rows = segments.segmented(docs, total, F.xxhash64(whole_text()).alias("tie"))
 
     def ask(table: pa.Table) -> pa.Table:
         shingler = Shingler(words)
         found, held, size = [], [], 0
-        for text in table.column("text"):
+        for text in segments.unpacked(table).column("text"):
             held.append(_key(shingler.of(text.as_py())))
             size += len(held[-1])
             if size > 1 << 21:
@@ -101,17 +101,20 @@ def shared_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     answers = segments.answer(asked, lambda keys, counts: np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
 
     def pick(table: pa.Table, got: pa.Table) -> pa.Table:
+        table = segments.unpacked(table)
         shingler = Shingler(words)
         sets = [shingler.of(text.as_py()) for text in table.column("text")]
         keys = segments.runs(np.concatenate([np.empty(0, np.uint64), *map(_key, sets)]))[0]
         seen = segments.answers_of(got, keys, _bucket(keys, buckets), np.uint32)
-        sigs, tokens = [], []
+        sigs, tokens, told = [], [], set()
         for s in sets:
             often = seen[np.searchsorted(keys, _key(s))]
             shared = often >= 2
             if len(s) and 100 * int(shared.sum()) >= percent * len(s):
                 sigs.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-                tokens.append(s[shared][np.argsort(often[shared], kind="stable")].tobytes())
+                # Equal sets of a segment need their tokens told once.
+                tokens.append(None if sigs[-1] in told else s[shared][np.argsort(often[shared], kind="stable")].tobytes())
+                told.add(sigs[-1])
             else:
                 sigs.append(None)
                 tokens.append(None)
@@ -214,9 +217,11 @@ def block_links(sets: list[np.ndarray], sizes: np.ndarray, queries: np.ndarray,
 
 def _tasks(sets: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     """Every set with the tasks it takes part in, and its side there."""
-    placed = sets.join(cells, sets.sig == cells.node).drop("node")
     ratio = float(np.log(100 / percent))
-    placed = placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")).withColumn("size", F.octet_length("tokens") / 8)
+    band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
+    # Tasks are worked out on narrow rows; tokens join them last.
+    placed = sets.select("sig", band.alias("band"), (F.octet_length("tokens") / 8).alias("size"))
+    placed = placed.join(cells, placed.sig == cells.node).drop("node")
     weight = placed.groupBy("component", "band").agg(F.count("*").alias("sets"), F.sum("size").alias("held"))
     cell = weight.groupBy("component").agg(F.sum("sets").alias("all_sets"), F.sum("held").alias("all_held"))
     large = (F.col("all_sets") > BLOCK_SETS) | (F.col("all_held") > BLOCK_TOKENS)
@@ -249,7 +254,8 @@ def _tasks(sets: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: entry(task(band - 1, j, band, "block"), F.lit(1)))).otherwise(none)
     whole = F.array(entry(F.concat(F.lit("#"), F.pmod(F.xxhash64("component"), F.lit(shared_tasks)).cast("string")), F.lit(-1)))
     took = F.explode(F.when(F.col("large"), F.concat(own, up, down)).otherwise(whole)).alias("t")
-    return placed.select("sig", "n", "tokens", took).select("sig", "n", "tokens", "t.task", "t.side")
+    tasks = placed.select("sig", took).select("sig", "t.task", "t.side")
+    return tasks.join(sets, "sig").select("sig", "n", "tokens", "task", "side")
 
 
 def set_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -287,7 +293,7 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """Per row ``doc_id``, ``tie`` (hash of the text), ``n`` and the ``grp`` it belongs to (null if it links with nothing)."""
     rows = stored(shared_sets(docs, words, percent), "sets")
     held = rows.filter("sig IS NOT NULL")
-    sets = stored(held.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "distinct_sets")
+    sets = stored(held.filter("tokens IS NOT NULL").groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "distinct_sets")
     labels = components(set_links(sets, percent))
     named = held.drop("tokens").join(labels, F.col("sig") == F.col("node"), "left")
     named = named.select("doc_id", "tie", "n", F.coalesce("component", "sig").alias("grp"))
@@ -297,8 +303,10 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """Per row its number of shingles and the smallest id it is linked with, directly or not."""
     rows = stored(grouped(docs, words, percent), "grouped")
-    least = rows.filter("grp IS NOT NULL").groupBy("grp").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "grp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    linked = rows.filter("grp IS NOT NULL")
+    least = linked.groupBy("grp").agg(F.min("doc_id").alias("least"))
+    named = linked.join(least, "grp").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return named.union(rows.filter("grp IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

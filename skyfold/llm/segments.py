@@ -21,6 +21,8 @@ from skyfold.llm.common import whole_text
 #: Bytes of text in a segment, and bytes of text per bucket of keys.
 SEGMENT_BYTES = 24 << 20
 BUCKET_BYTES = 24 << 20
+#: A task packs documents whenever it holds so many bytes of them.
+_PACKED_BYTES = 48 << 20
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -28,16 +30,55 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def segmented(docs: DataFrame, total: int, *extra) -> DataFrame:
-    """``doc_id``, ``text`` (bytes, empty for null), ``seg`` and ``extra`` columns."""
+    """Documents as packed rows (``seg``, ``body``): each body holds many documents of a segment, compressed together.
+
+    A body has ``doc_id``, ``text`` (bytes, empty for null) and the ``extra`` columns; ``unpacked`` gives them back.
+    """
     n = max(1, -(-total // SEGMENT_BYTES))
     text = whole_text()
-    return docs.select(
+    rows = docs.select(
+        F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("seg"),
         F.col("doc_id").cast("long").alias("doc_id"),
         text.cast("binary").alias("text"),
-        F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("seg"),
         *extra,
     )
 
+    def pack(batches):
+        held: dict[int, list[pa.RecordBatch]] = {}
+        size = 0
+
+        def flush():
+            segs, bodies = [], []
+            for seg, parts in held.items():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(pa.Table.from_batches(parts).combine_chunks())
+                segs.append(seg)
+                bodies.append(sink.getvalue().to_pybytes())
+            held.clear()
+            return pa.RecordBatch.from_pydict({"seg": pa.array(segs, pa.int32()), "body": pa.array(bodies, pa.binary())})
+
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            rest = batch.select(batch.schema.names[1:])
+            order = np.argsort(own, kind="stable")
+            ids, sizes = runs(own.copy())
+            for seg, end, k in zip(ids.tolist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                held.setdefault(seg, []).append(rest.take(pa.array(order[end - k : end])))
+            size += batch.nbytes
+            if size >= _PACKED_BYTES:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(pack, "seg int, body binary")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The documents of a segment, from its packed rows."""
+    return pa.concat_tables([pa.ipc.open_stream(body.as_buffer()).read_all() for body in table.column("body")])
+
 
 def bucket_count(total: int) -> int:
     return max(16, -(-total // BUCKET_BYTES))
