@@ -190,6 +190,8 @@ def _regions(docs: DataFrame, table: np.ndarray, masks: list[tuple[int, ...]], r
                 spots.append(hit[inside])
                 hashes.append(h[hit[inside]])
             spot, hash_ = np.concatenate(spots), np.concatenate(hashes)
+            if not len(spot):
+                continue
             order = np.argsort(spot, kind="stable")
             spot, hash_ = spot[order], hash_[order].view(np.int64)
             of = np.searchsorted(ends, spot, "right")
