@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from skyfold.catalog.base import legs, query, rounded, table
 from skyfold.functions import clock as C
-from skyfold.functions.codes import WEATHER_PATTERNS, first_known, parse_present_weather, parse_sky
+from skyfold.config import WEATHER_FLAGS
+from skyfold.functions.codes import first_known, parse_present_weather, parse_sky
 from skyfold.functions.labels import sector_label, signed_log
 from skyfold.operators import graph as G
 from skyfold.operators import splits as SP
@@ -44,22 +45,45 @@ def _coded_sql(codes: list[str]) -> str:
     t AS (SELECT *, translate(regexp_replace(upper(coalesce(code, '')), '\\bNULL\\b|\\*', '', 'g'), '|', ' ') AS text FROM c)"""
 
 
-def _wx_flag(flag: str, pattern: str) -> str:
-    return f"CAST(regexp_matches(x, '{pattern}') AS INTEGER) AS {flag}"
-
-
-@query(
-    f"""WITH {_coded_sql(_WX)}, w AS (SELECT *, trim(regexp_replace(text, '[^A-Z+:\\-\\d]+', ' ', 'g')) AS x FROM t),
-    f AS (SELECT event_id, code, {', '.join(_wx_flag(f, p) for f, p in WEATHER_PATTERNS.items())} FROM w)
+def _wx_sql(source: str, key: str) -> str:
+    """Flags of ``code`` token by token, with conditions of its own; ``source`` is a query with ``key`` and ``code``."""
+    return f"""WITH c AS ({source}),
+    k AS (SELECT {key}, unnest(string_split_regex(regexp_replace(replace(replace(upper(coalesce(code, '')), '|', ' '), '*', ''), '\\bNULL\\b', '', 'g'),
+      '[^A-Z0-9:+\\-]+')) AS tok FROM c),
+    w AS (SELECT {key}, tok, string_split_regex(tok, '[:+\\-]') AS ws, tok[3:3] BETWEEN 'A' AND 'Z' OR length(tok) = 2 AS goes_on,
+      tok[5:5] BETWEEN 'A' AND 'Z' OR length(tok) = 4 AS goes_on4, regexp_matches(tok, '^..(:[0-9]+)?$') AS numbered FROM k),
+    g AS (SELECT {key}, max(tok[1] = '-') AS light, max(tok[1] = '+') AS heavy,
+      max(list_contains(ws, 'TSRA') OR list_contains(ws, 'SQ') OR (tok[1:2] = 'TS' AND goes_on) OR (tok[1:4] = 'VCTS' AND goes_on4)) AS thunderstorm,
+      max(list_contains(ws, 'RA') OR list_contains(ws, 'DZ') OR list_contains(ws, 'SHRA')) AS rain_or_drizzle,
+      max(list_contains(ws, 'FZRA') OR list_contains(ws, 'FZDZ') OR (tok[1:2] = 'FZ' AND goes_on)) AS freezing_conditions,
+      max(list_has_any(ws, ['SN', 'SG', 'BLSN', 'DRSN', 'SHSN'])) AS snow,
+      max(list_has_any(ws, ['GS', 'GR', 'PL', 'IC', 'HAIL'])) AS hail_or_ice,
+      max(list_has_any(ws, ['BR', 'FG', 'FU', 'HZ', 'DU', 'SA', 'VCFG']) OR tok = 'PR') AS reduced_visibility,
+      max((tok[1:2] IN ('VC', 'DR', 'BL') AND goes_on) OR (tok[1:2] IN ('MI', 'BC') AND numbered)) AS spatial_effects,
+      max(list_contains(ws, 'UP')) AS unknown_precip FROM w GROUP BY {key}),
+    f AS (SELECT {key}, code, {', '.join(f'CAST(coalesce(g.{f}, false) AS INTEGER) AS {f}' for f in WEATHER_FLAGS)}
+      FROM c LEFT JOIN g USING ({key}))
     SELECT *, concat_ws(' ', {', '.join(
-        f"CASE WHEN {f} = 1 THEN '{f + '_weather' if f in ('light', 'heavy') else f}' END" for f in WEATHER_PATTERNS)})
+        f"CASE WHEN {f} = 1 THEN '{f + '_weather' if f in ('light', 'heavy') else f}' END" for f in WEATHER_FLAGS)})
       AS "ReadableWeather" FROM f"""
-)
+
+
+def _codes_of(codes: list[str]) -> str:
+    return f"WITH {_coded_sql(codes)} SELECT event_id, code FROM c"
+
+
+@query(_wx_sql(_codes_of(_WX), "event_id"))
 def token_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Present-weather flags of coded texts derived from the events."""
     return parse_present_weather(_coded(spark, sf, _WX), "code")
 
 
+@query(_wx_sql("SELECT doc_id, text AS code FROM documents", "doc_id").replace("SELECT *, concat_ws", "SELECT * EXCLUDE (code), concat_ws"))
+def token_flags_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The same token rules over whole document texts."""
+    return parse_present_weather(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+
+
 @query(
     f"""WITH {_coded_sql(_SKY)}, w AS (SELECT *, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS toks FROM t),
     u AS (SELECT event_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM w),

@@ -9,15 +9,57 @@ EXCLUDED_AIRPORTS = ["BQN", "STT", "GUM", "SJU", "ISN", "PSE", "PPG", "STX"]
 STUDY_PERIOD = ("2015-01-01", "2020-01-01")
 
 # Flight columns kept for the enriched table.
-FLIGHT_COLUMNS = (
-    "YEAR QUARTER MONTH DAY_OF_MONTH DAY_OF_WEEK FL_DATE OP_UNIQUE_CARRIER TAIL_NUM OP_CARRIER_FL_NUM "
-    "ORIGIN_CITY_MARKET_ID ORIGIN ORIGIN_CITY_NAME ORIGIN_STATE_ABR ORIGIN_STATE_FIPS ORIGIN_STATE_NM ORIGIN_WAC "
-    "DEST_CITY_MARKET_ID DEST DEST_CITY_NAME DEST_STATE_ABR DEST_STATE_FIPS DEST_STATE_NM DEST_WAC "
-    "CRS_DEP_TIME DEP_TIME DEP_DELAY DEP_DEL15 DEP_TIME_BLK TAXI_OUT WHEELS_OFF WHEELS_ON TAXI_IN "
-    "CRS_ARR_TIME ARR_TIME ARR_DELAY ARR_DEL15 ARR_TIME_BLK CANCELLED DIVERTED CRS_ELAPSED_TIME "
-    "ACTUAL_ELAPSED_TIME AIR_TIME CARRIER_DELAY WEATHER_DELAY NAS_DELAY SECURITY_DELAY LATE_AIRCRAFT_DELAY "
-    "DISTANCE DISTANCE_GROUP"
-).split()
+FLIGHT_COLUMNS = [
+    "YEAR",
+    "QUARTER",
+    "MONTH",
+    "DAY_OF_MONTH",
+    "DAY_OF_WEEK",
+    "FL_DATE",
+    "OP_UNIQUE_CARRIER",
+    "TAIL_NUM",
+    "OP_CARRIER_FL_NUM",
+    "ORIGIN_CITY_MARKET_ID",
+    "ORIGIN",
+    "ORIGIN_CITY_NAME",
+    "ORIGIN_STATE_ABR",
+    "ORIGIN_STATE_FIPS",
+    "ORIGIN_STATE_NM",
+    "ORIGIN_WAC",
+    "DEST_CITY_MARKET_ID",
+    "DEST",
+    "DEST_CITY_NAME",
+    "DEST_STATE_ABR",
+    "DEST_STATE_FIPS",
+    "DEST_STATE_NM",
+    "DEST_WAC",
+    "CRS_DEP_TIME",
+    "DEP_TIME",
+    "DEP_DELAY",
+    "DEP_DEL15",
+    "DEP_TIME_BLK",
+    "TAXI_OUT",
+    "WHEELS_OFF",
+    "WHEELS_ON",
+    "TAXI_IN",
+    "CRS_ARR_TIME",
+    "ARR_TIME",
+    "ARR_DELAY",
+    "ARR_DEL15",
+    "ARR_TIME_BLK",
+    "CANCELLED",
+    "DIVERTED",
+    "CRS_ELAPSED_TIME",
+    "ACTUAL_ELAPSED_TIME",
+    "AIR_TIME",
+    "CARRIER_DELAY",
+    "WEATHER_DELAY",
+    "NAS_DELAY",
+    "SECURITY_DELAY",
+    "LATE_AIRCRAFT_DELAY",
+    "DISTANCE",
+    "DISTANCE_GROUP",
+]
 
 # Parts of the composite flight id, in order.
 FLIGHT_ID_PARTS = ["FL_DATE", "CRS_DEP_TIME", "TAIL_NUM", "OP_CARRIER_FL_NUM", "ORIGIN", "DEST"]
@@ -111,48 +153,147 @@ TYPES = {c: "double" for c in ["ORIGIN_LAT", "ORIGIN_LONG", "HourlyAltimeterSett
 }
 
 # Columns of the model table.
-MODEL_COLUMNS = (
-    "YEAR QUARTER MONTH DAY_OF_MONTH DAY_OF_WEEK IS_US_HOLIDAY OP_UNIQUE_CARRIER TAIL_NUM ORIGIN ORIGIN_STATE_ABR "
-    "DEST DEST_STATE_ABR CRS_DEP_TIME_BLOCK CRS_DEP_DATETIME_UTC CRS_ARR_TIME_BLOCK ARR_DEL15 CRS_ELAPSED_TIME "
-    "CARRIER_DELAY NAS_DELAY SECURITY_DELAY LATE_AIRCRAFT_DELAY DISTANCE ORIGIN_LAT ORIGIN_LONG ORIGIN_ELEVATION_FT "
-    "ORIGIN_SIZE DEST_LAT DEST_LON DEST_ELEVATION_FT DEST_SIZE overall_cloud_frac_0_1 lowest_cloud_ft "
-    "highest_cloud_ft has_few has_sct has_bkn has_ovc HourlyAltimeterSetting HourlyWindCardinalDirection "
-    "HourlyWindGustSpeed HourlyWindSpeed light heavy thunderstorm rain_or_drizzle freezing_conditions snow "
-    "hail_or_ice reduced_visibility spatial_effects unknown_precip origin_pagerank dest_pagerank origin_out_degree "
-    "dest_in_degree prev_flight_arr_delay_clean actual_to_crs_time_to_next_flight_diff_mins_clean "
-    "crs_time_to_next_flight_diff_mins"
-).split()
+MODEL_COLUMNS = [
+    "YEAR",
+    "QUARTER",
+    "MONTH",
+    "DAY_OF_MONTH",
+    "DAY_OF_WEEK",
+    "IS_US_HOLIDAY",
+    "OP_UNIQUE_CARRIER",
+    "TAIL_NUM",
+    "ORIGIN",
+    "ORIGIN_STATE_ABR",
+    "DEST",
+    "DEST_STATE_ABR",
+    "CRS_DEP_TIME_BLOCK",
+    "CRS_DEP_DATETIME_UTC",
+    "CRS_ARR_TIME_BLOCK",
+    "ARR_DEL15",
+    "CRS_ELAPSED_TIME",
+    "CARRIER_DELAY",
+    "NAS_DELAY",
+    "SECURITY_DELAY",
+    "LATE_AIRCRAFT_DELAY",
+    "DISTANCE",
+    "ORIGIN_LAT",
+    "ORIGIN_LONG",
+    "ORIGIN_ELEVATION_FT",
+    "ORIGIN_SIZE",
+    "DEST_LAT",
+    "DEST_LON",
+    "DEST_ELEVATION_FT",
+    "DEST_SIZE",
+    "overall_cloud_frac_0_1",
+    "lowest_cloud_ft",
+    "highest_cloud_ft",
+    "has_few",
+    "has_sct",
+    "has_bkn",
+    "has_ovc",
+    "HourlyAltimeterSetting",
+    "HourlyWindCardinalDirection",
+    "HourlyWindGustSpeed",
+    "HourlyWindSpeed",
+    "light",
+    "heavy",
+    "thunderstorm",
+    "rain_or_drizzle",
+    "freezing_conditions",
+    "snow",
+    "hail_or_ice",
+    "reduced_visibility",
+    "spatial_effects",
+    "unknown_precip",
+    "origin_pagerank",
+    "dest_pagerank",
+    "origin_out_degree",
+    "dest_in_degree",
+    "prev_flight_arr_delay_clean",
+    "actual_to_crs_time_to_next_flight_diff_mins_clean",
+    "crs_time_to_next_flight_diff_mins",
+]
 
 # Column groups for modelling.
 LABEL = "ARR_DEL15"
-NUMERIC = (
-    "CRS_ELAPSED_TIME DISTANCE ORIGIN_LAT ORIGIN_LONG ORIGIN_ELEVATION_FT DEST_LAT DEST_LON DEST_ELEVATION_FT "
-    "overall_cloud_frac_0_1 lowest_cloud_ft highest_cloud_ft HourlyAltimeterSetting HourlyWindGustSpeed "
-    "HourlyWindSpeed origin_pagerank dest_pagerank origin_out_degree dest_in_degree prev_flight_arr_delay_clean "
-    "crs_time_to_next_flight_diff_mins actual_to_crs_time_to_next_flight_diff_mins_clean"
-).split()
+NUMERIC = [
+    "CRS_ELAPSED_TIME",
+    "DISTANCE",
+    "ORIGIN_LAT",
+    "ORIGIN_LONG",
+    "ORIGIN_ELEVATION_FT",
+    "DEST_LAT",
+    "DEST_LON",
+    "DEST_ELEVATION_FT",
+    "overall_cloud_frac_0_1",
+    "lowest_cloud_ft",
+    "highest_cloud_ft",
+    "HourlyAltimeterSetting",
+    "HourlyWindGustSpeed",
+    "HourlyWindSpeed",
+    "origin_pagerank",
+    "dest_pagerank",
+    "origin_out_degree",
+    "dest_in_degree",
+    "prev_flight_arr_delay_clean",
+    "crs_time_to_next_flight_diff_mins",
+    "actual_to_crs_time_to_next_flight_diff_mins_clean",
+]
 LOG_CANDIDATES = (
     "CRS_ELAPSED_TIME DISTANCE ORIGIN_ELEVATION_FT DEST_ELEVATION_FT lowest_cloud_ft highest_cloud_ft "
     "HourlyWindGustSpeed HourlyWindSpeed origin_out_degree dest_in_degree crs_time_to_next_flight_diff_mins "
     "actual_to_crs_time_to_next_flight_diff_mins_clean"
 ).split()
 FLAGS = ["IS_US_HOLIDAY"] + SKY_FLAGS + WEATHER_FLAGS
-CATEGORICAL = (
-    "OP_UNIQUE_CARRIER ORIGIN ORIGIN_STATE_ABR DEST DEST_STATE_ABR ORIGIN_SIZE DEST_SIZE HourlyWindCardinalDirection"
-).split()
-CYCLICAL = "QUARTER MONTH DAY_OF_MONTH DAY_OF_WEEK CRS_DEP_TIME_BLOCK CRS_ARR_TIME_BLOCK".split()
+CATEGORICAL = [
+    "OP_UNIQUE_CARRIER",
+    "ORIGIN",
+    "ORIGIN_STATE_ABR",
+    "DEST",
+    "DEST_STATE_ABR",
+    "ORIGIN_SIZE",
+    "DEST_SIZE",
+    "HourlyWindCardinalDirection",
+]
+CYCLICAL = [
+    "QUARTER",
+    "MONTH",
+    "DAY_OF_MONTH",
+    "DAY_OF_WEEK",
+    "CRS_DEP_TIME_BLOCK",
+    "CRS_ARR_TIME_BLOCK",
+]
 
 # Reduced feature sets, first for tuning, then for the final fit.
 TUNING_NUMERIC = [c for c in NUMERIC if c != "highest_cloud_ft"]
-TUNING_FLAGS = "has_few has_sct has_bkn light heavy thunderstorm freezing_conditions snow".split()
-TUNING_CATEGORICAL = (
-    "OP_UNIQUE_CARRIER ORIGIN_STATE_ABR DEST DAY_OF_MONTH DAY_OF_WEEK CRS_DEP_TIME_BLOCK CRS_ARR_TIME_BLOCK"
-).split()
+TUNING_FLAGS = [
+    "has_few",
+    "has_sct",
+    "has_bkn",
+    "light",
+    "heavy",
+    "thunderstorm",
+    "freezing_conditions",
+    "snow",
+]
+TUNING_CATEGORICAL = [
+    "OP_UNIQUE_CARRIER",
+    "ORIGIN_STATE_ABR",
+    "DEST",
+    "DAY_OF_MONTH",
+    "DAY_OF_WEEK",
+    "CRS_DEP_TIME_BLOCK",
+    "CRS_ARR_TIME_BLOCK",
+]
 FINAL_NUMERIC = (
     "CRS_ELAPSED_TIME DEST_LON DEST_ELEVATION_FT overall_cloud_frac_0_1 lowest_cloud_ft HourlyAltimeterSetting "
     "dest_in_degree crs_time_to_next_flight_diff_mins actual_to_crs_time_to_next_flight_diff_mins_clean"
 ).split()
-FINAL_CATEGORICAL = "OP_UNIQUE_CARRIER ORIGIN DEST".split()
+FINAL_CATEGORICAL = [
+    "OP_UNIQUE_CARRIER",
+    "ORIGIN",
+    "DEST",
+]
 
 # Continental bounding box (lat from, lat to, lon from, lon to).
 CONTINENTAL_BOX = (24.0, 50.0, -125.0, -65.0)
