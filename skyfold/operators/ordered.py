@@ -1,196 +1,102 @@
 """Operators that depend on row order, written so that no single task ever holds one hot group.
 
-The common device is a *segment*: a range of the order column between cut points taken from its
-quantiles. Segments of a group are processed independently and in parallel; what one segment needs
-from those before it (a last row, a running total) is a table of at most one row per group and
-segment, whose size does not depend on the data.
+The common device is a *segment*: a range of rows in the wanted order, cut by Spark's range partitioning on the order columns and
+the tie. Columns of any type can be cut, and nulls and NaN lie where the direction puts them. Segments hold a bounded
+number of rows, are written once and then processed in parallel; what one segment needs from those before it (a last row, a
+running total) is a table of one row per segment.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skyfold.functions.clock import EPOCH, ntz
-from skyfold.session import shuffle_width
+from skyfold.session import stored
 
+#: Rows a segment holds on average; a group above that is cut.
+ROWS_PER_SEGMENT = 500_000
 
-@dataclass(frozen=True)
-class Cuts:
-    """Increasing cut points of an order column.
 
-    ``inner`` holds, for a cut value so frequent that it would fill whole segments by itself, further
-    cut points of the tie column among the rows with that value.
-    """
-
-    points: tuple[float, ...] = ()
-    inner: Mapping[float, tuple[float, ...]] = field(default_factory=dict)
-
-
-def as_number(df: DataFrame, col: str) -> Column:
-    """An order-preserving double of a numeric, date or timestamp column."""
-    kind = df.schema[col].dataType
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.timestamp_diff("MICROSECOND", ntz(EPOCH), F.col(col)).cast("double")
-    return F.col(col).cast("double")
-
-
-def cut_points(df: DataFrame, order: Column, n: int, tie: Column | None = None) -> Cuts:
-    """About ``n`` even segments of an order expression: one pass over the columns it reads.
-
-    The sketch merges on the executors; the driver receives ``n`` numbers.
-    """
-    if n < 2:
-        return Cuts()
-    probs = [i / n for i in range(1, n)]
-    found = df.select(order.alias("_o")).approxQuantile("_o", probs, 1 / (4 * n))
-    points = tuple(sorted(set(found)))
-    frequent = sorted({v for v in points if found.count(v) > 1})
-    if tie is None or not frequent:
-        return Cuts(points)
-    inner = (
-        df.select(order.alias("_o"), tie.alias("_t"))
-        .filter(F.col("_o").isin(frequent))
-        .groupBy("_o")
-        .agg(F.percentile_approx("_t", probs, 8 * n).alias("_cuts"))
-        .collect()  # at most n rows: each value holds at least a 1/n share
-    )
-    return Cuts(points, {r["_o"]: tuple(sorted(set(r["_cuts"] or ()))) for r in inner})
+def segmented(df: DataFrame, order_by: Sequence[Column], rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
+    """``df`` with ``_seg``, a number that grows along ``order_by``; written, so that every reader sees the same cuts."""
+    n = max(1, -(-df.count() // rows_per_segment))
+    return stored(df.repartitionByRange(n, *order_by).withColumn("_seg", F.spark_partition_id()), "segments")
 
 
-def with_segment(df: DataFrame, cuts: Cuts, order: Column, tie: Column | None = None, name: str = "_seg") -> DataFrame:
-    """Adds the segment number, increasing with (order, tie); null order values come first as -1."""
-    if not cuts.points:
-        return df.withColumn(name, F.when(order.isNull(), F.lit(-1)).otherwise(F.lit(0)))
-    splits = [float("-inf"), *cuts.points, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="_o", outputCol="_b", handleInvalid="keep").transform(
-        df.withColumn("_o", order)
-    )
-    stride = 1 + max((len(c) + 2 for c in cuts.inner.values()), default=0)
-    fine = F.lit(0)
-    if cuts.inner and tie is not None:
-        t = tie.cast("double")
-        steps = [
-            F.when(
-                F.col("_o") == value,
-                F.size(F.filter(F.array(*[F.lit(float(p)) for p in inner]), lambda p: p <= t)),
-            )
-            for value, inner in cuts.inner.items()
-        ]
-        # rows above a frequent value in the same bucket follow all rows with that value
-        after = F.when(F.col("_b").isin([float(splits.index(v)) for v in cuts.inner]), F.lit(stride - 1))
-        fine = F.coalesce(*steps, after, F.lit(0))
-    segment = F.when(F.col("_o").isNull(), F.lit(-1)).otherwise(F.col("_b").cast("int") * stride + fine)
-    return placed.withColumn(name, segment).drop("_o", "_b")
-
-
-def hot_keys(df: DataFrame, key: str, share: float) -> list:
-    """Keys that hold more than ``share`` of the rows, so at most ``1 / share`` of them."""
+def hot_keys(df: DataFrame, key: str, most: int) -> DataFrame:
+    """Keys of more than ``most`` rows."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return [r[0] for r in counts.filter(F.col("_n") > F.lit(share) * total).select(key).collect()]
+    return stored(counts.filter(F.col("_n") > most).select(key), "hot_keys")
 
 
 def previous_event(
-    df: DataFrame,
-    key: str,
-    order: str,
-    cols: Mapping[str, str],
-    tie: str,
-    hot_share: float | None = None,
+    df: DataFrame, key: str, order: str, cols: Mapping[str, str], tie: str, rows_per_segment: int = ROWS_PER_SEGMENT
 ) -> DataFrame:
     """Values of the row before, within ``key`` by (``order``, ``tie``); rows with a null key have none.
 
-    Ordinary keys take one window each. Keys above ``hot_share`` of the rows (by default the size of an
-    average shuffle partition) are cut into segments of time; a segment's first row gets the last row
-    of the segment before it from a table of one row per hot key and segment.
+    Ordinary keys take one window each. The rows of keys above a segment's size are cut into segments; a segment's first row
+    of a key gets the key's last row before it from a table of one row per hot key and segment.
     """
-    n = shuffle_width(df.sparkSession)
-    hot = hot_keys(df, key, hot_share if hot_share is not None else 1 / n)
-    number, tie_number = as_number(df, order), _tie_number(df, tie)
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    spread = F.pmod(F.xxhash64(order, tie), F.lit(n)).cast("int")
+    hot = hot_keys(df, key, rows_per_segment)
     packed = df.withColumn("_pack", F.struct(*[F.col(c).alias(o) for c, o in cols.items()]))
-    if hot:
-        hot_rows = df.filter(is_hot)
-        packed = with_segment(packed, cut_points(hot_rows, number, n, tie_number), number, tie_number)
-    else:
-        packed = packed.withColumn("_seg", F.lit(0))
-    packed = packed.withColumn(
-        "_seg", F.when(F.col(key).isNull(), spread).when(is_hot, F.col("_seg")).otherwise(F.lit(0))
-    )
-    ahead = W.partitionBy(key, "_seg").orderBy(order, tie)
-    out = packed.withColumn("_prev", F.when(F.col(key).isNotNull(), F.lag("_pack", 1).over(ahead)))
-    if hot:
-        tails = (
-            packed.filter(is_hot).groupBy(key, "_seg").agg(F.max_by("_pack", F.struct(order, tie)).alias("_tail"))
-        )
-        carry = tails.select(
-            key, "_seg", F.lag("_tail", 1).over(W.partitionBy(key).orderBy("_seg")).alias("_carry")
-        )
-        out = out.join(carry, [key, "_seg"], "left").withColumn("_prev", F.coalesce("_prev", "_carry"))
-    return out.select(*df.columns, *[F.col("_prev")[o].alias(o) for o in cols.values()])
-
-
-def _tie_number(df: DataFrame, tie: str) -> Column | None:
-    """The tie column as a number, when it can be cut into ranges."""
-    numeric = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    return as_number(df, tie) if isinstance(df.schema[tie].dataType, numeric) else None
-
-
-def _with_offsets(segmented: DataFrame, rows: DataFrame, sums: Mapping[str, Column], order_by: Sequence[Column]) -> DataFrame:
-    """Running sums inside each segment plus the totals of the segments before it."""
-    per_segment = segmented.groupBy("_seg").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    # One row per segment: this ordered window sees a few thousand rows at the very most.
-    before = W.orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_segment.select(
-        "_seg", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_t_{o}") for o in sums]
-    )
+    known = packed.filter(F.col(key).isNotNull())
+    none = packed.filter(F.col(key).isNull()).withColumn("_prev", F.lit(None).cast(packed.schema["_pack"].dataType))
+    cut = not hot.isEmpty()
+    cool = known.join(hot, key, "left_anti") if cut else known
+    out = cool.withColumn("_prev", F.lag("_pack", 1).over(W.partitionBy(key).orderBy(order, tie)))
+    if cut:
+        names = [c for c in known.columns]
+        warm = segmented(known.join(hot, key, "left_semi"), [F.col(key), F.col(order), F.col(tie)], rows_per_segment)
+        inside = W.partitionBy(key, "_seg")
+        last = warm.withColumn("_r", F.row_number().over(inside.orderBy(F.desc(order), F.desc(tie)))).filter("_r = 1")
+        carry = last.select(key, "_seg", F.lag("_pack", 1).over(W.partitionBy(key).orderBy("_seg")).alias("_carry"))
+        warm = warm.withColumn("_prev", F.lag("_pack", 1).over(inside.orderBy(order, tie))).join(carry, [key, "_seg"], "left")
+        out = out.unionByName(warm.select(*names, F.coalesce("_prev", "_carry").alias("_prev")))
+    return out.unionByName(none).select(*df.columns, *[F.col("_prev")[o].alias(o) for o in cols.values()])
+
+
+def _summed(segments: DataFrame, sums: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
+    """Running sums of columns inside each segment plus the totals of the segments before it."""
+    per_segment = segments.groupBy("_seg").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    before = W.orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)  # one row per segment
+    offsets = per_segment.select("_seg", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_t_{c}") for c in sums])
     inside = W.partitionBy("_seg").orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
-    summed = rows.withColumns({o: F.sum(o).over(inside) for o in sums})
-    joined = summed.join(F.broadcast(offsets), "_seg")
-    return joined.withColumns({o: F.col(o) + F.col(f"_t_{o}") for o in sums}).drop("_seg", *[f"_t_{o}" for o in sums])
+    joined = segments.withColumns({c: F.sum(c).over(inside) for c in sums}).join(offsets, "_seg")
+    return joined.withColumns({c: F.col(c) + F.col(f"_t_{c}") for c in sums}).drop("_seg", *[f"_t_{c}" for c in sums])
 
 
 def running_totals(
-    df: DataFrame, order: str, tie: str, sums: Mapping[str, Column], descending: bool = False
+    df: DataFrame, order: str, tie: str, sums: Mapping[str, Column], descending: bool = False, rows_per_segment: int = ROWS_PER_SEGMENT
 ) -> DataFrame:
-    """Running sums over the whole table in (``order``, ``tie``) order, without a one-task sort."""
-    n = shuffle_width(df.sparkSession)
-    sign = F.lit(-1.0 if descending else 1.0)
-    number, tie_number = as_number(df, order) * sign, _tie_number(df, tie)
-    seg = with_segment(df, cut_points(df, number, n, tie_number), number, tie_number)
-    o = F.col(order).desc() if descending else F.col(order).asc()
-    return _with_offsets(seg, seg.withColumns(dict(sums)), sums, [o, F.col(tie).asc()])
+    """Running sums over the whole table in (``order``, ``tie``) order, without a one-task sort.
+
+    Nulls and NaN stand where Spark's order puts them: nulls first going up and last going down, NaN above every number.
+    """
+    order_by = [F.desc(order) if descending else F.asc(order), F.asc(tie)]
+    return _summed(segmented(df.withColumns(dict(sums)), order_by, rows_per_segment), list(sums), order_by)
 
 
 def totals_by_value(
-    df: DataFrame, value: str, sums: Mapping[str, Column], descending: bool = False, own: bool = False
+    df: DataFrame, value: str, sums: Mapping[str, Column], descending: bool = False, own: bool = False, rows_per_segment: int = ROWS_PER_SEGMENT
 ) -> DataFrame:
     """Distinct values with the sums over all rows up to and including each value.
 
     Equal values are folded together before they are ordered, so a value shared by a third of all rows
     is one row afterwards. With ``own`` the sums of each value alone stay as ``own_<name>``.
     """
-    n = shuffle_width(df.sparkSession)
-    known = df.filter(F.col(value).isNotNull())
-    number = as_number(known, value) * F.lit(-1.0 if descending else 1.0)
-    seg = with_segment(known, cut_points(known, number, n), number)
-    folded = seg.groupBy("_seg", value).agg(*[F.sum(c).alias(o) for o, c in sums.items()])
+    folded = df.filter(F.col(value).isNotNull()).groupBy(value).agg(*[F.sum(c).alias(o) for o, c in sums.items()])
     if own:
         folded = folded.withColumns({f"own_{o}": F.col(o) for o in sums})
-    return _with_offsets(seg, folded, sums, [F.col(value).desc() if descending else F.col(value).asc()])
+    order_by = [F.desc(value) if descending else F.asc(value)]
+    return _summed(segmented(folded, order_by, rows_per_segment), list(sums), order_by)
 
 
-def global_rank(df: DataFrame, order: str, tie: str, alias: str = "row_num", descending: bool = False) -> DataFrame:
+def global_rank(df: DataFrame, order: str, tie: str, alias: str = "row_num", descending: bool = False, rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
     """Position 1, 2, ... of each row in the whole table."""
-    return running_totals(df, order, tie, {alias: F.lit(1).cast("bigint")}, descending)
+    return running_totals(df, order, tie, {alias: F.lit(1).cast("bigint")}, descending, rows_per_segment)
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
@@ -223,8 +129,9 @@ def top_n_per_group(df: DataFrame, group: str | Sequence[str], measure: str, n:
 
 
 def share_of_total(report: DataFrame, shares: Mapping[str, str], digits: int | None = None) -> DataFrame:
-    """Percent of the grand total for each measure. The totals are scalar sub-queries, so the report is
-    never gathered into one window partition."""
+    """Percent of the grand total for each measure. The report is written once; the totals are scalar sub-queries over what was
+    written, so it is neither worked out twice nor gathered into one window partition."""
+    report = stored(report, "report")
 
     def share(c: str) -> Column:
         total = report.agg(F.sum(c)).scalar()
