@@ -91,11 +91,12 @@ def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and matches of the stretch with the most matches after paying for mismatches."""
+    """Start, end and matches of the stretch with the most matches after paying for mismatches; of equal ones the longest."""
     gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
     lowest = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - lowest))
-    start = int(np.flatnonzero(gain[: end + 1] == lowest[end])[-1])
+    over = gain - lowest
+    end = int(np.flatnonzero(over == over.max())[-1]) if over.max() > 0 else 0
+    start = int(np.flatnonzero(gain[: end + 1] == lowest[end])[0])
     return start, end, int(equal[start:end].sum())
 
 

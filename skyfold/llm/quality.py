@@ -49,6 +49,12 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(starts, empty, step)["n"]
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once: a column named inside a lambda could be put there as its expression and be worked out
+    again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """Counts the base rules and the voting rules are made of."""
     text = whole_text()
@@ -58,13 +64,12 @@ def features(docs: DataFrame) -> DataFrame:
     out = out.withColumn("lines", lines).withColumn("n_words", F.size("words").cast("long"))
     places = F.sequence(F.lit(0), F.size("words") - WINDOW)
     hashes = F.transform("words", lambda w: F.xxhash64(w))
-    out = out.withColumn("hashes", hashes)
-    windows = F.when(F.size("words") >= WINDOW, F.transform(places, lambda i: F.xxhash64(F.slice("hashes", i + 1, WINDOW))))
-    out = out.withColumn("windows", windows)
+    windows = _bound(hashes, lambda h: F.transform(places, lambda i: F.xxhash64(F.slice(h, i + 1, WINDOW))))
+    out = out.withColumn("windows", F.when(F.size("words") >= WINDOW, windows))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     ordered = F.when(repeats, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     out = out.withColumn("ordered", ordered)
-    again = F.filter("ordered", lambda x, i: (F.get("ordered", i - 1)["h"] == x["h"]) | (F.get("ordered", i + 1)["h"] == x["h"]))
+    again = _bound(F.col("ordered"), lambda o: F.filter(o, lambda x, i: (F.get(o, i - 1)["h"] == x["h"]) | (F.get(o, i + 1)["h"] == x["h"])))
     out = out.withColumn("starts", F.sort_array(F.transform(again, lambda x: x["i"])))
     ended = F.size(F.filter("lines", lambda line: F.regexp(line, F.lit(r"[.!?][\x20\x09-\x0D]*$")))).cast("long")
     return out.select(

@@ -75,7 +75,9 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataF
     rows = packed(docs, F.xxhash64("text").alias("tie"), F.split("text", "\n").alias("_all")).join(gone, "tie", "left")
     places = F.sequence(F.lit(0), F.size("_all") - 1)
     stay = F.array_except(places, "gone")
-    text = F.when(F.col("gone").isNull(), F.col("_row")["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_all", i)), "\n"))
+    # The lines are bound once: named inside the lambda they could be split again for every line.
+    kept = F.get(F.transform(F.array("_all"), lambda a: F.array_join(F.transform(stay, lambda i: F.get(a, i)), "\n")), F.lit(0))
+    text = F.when(F.col("gone").isNull(), F.col("_row")["text"]).otherwise(kept)
     lines = F.when(F.col("_row")["text"].isNotNull(), F.size("_all")).otherwise(F.lit(0)).cast("long")
     return rows.select("_row", text.alias("_text"), lines.alias("_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_dropped"))
 
