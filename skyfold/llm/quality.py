@@ -1,8 +1,9 @@
 """Quality by weak supervision, in DataFrame functions only.
 
-Rules vote for a text (1), against it (-1) or abstain (0). Every text is good or bad, unseen; a rule has its own rates of
-votes among the good and among the bad, and expectation-maximisation over all texts estimates these rates and the share
-of good texts. A text is kept if its posterior probability of being good reaches one half and the plain base rules do not fail it.
+Rules vote for a text (1), against it (-1) or abstain (0). Every text is good or bad, unseen; when a rule votes, it is right with an
+accuracy of its own, and expectation-maximisation over all texts estimates the accuracies from where rules agree and differ. Most rules know
+one kind of junk each: they vote against it and abstain otherwise, so that one of them can reject a text alone. Both classes have
+even odds beforehand. A text is kept if its posterior probability of being good reaches one half and the plain base rules do not fail it.
 
 Only counts per vote pattern matter to the estimation, at most 3 to the power of the number of rules whatever the number of texts: they
 are aggregated once, and each round is one aggregate over them whose few sums reach the driver.
@@ -26,12 +27,9 @@ from skyfold.session import stored
 WINDOW = 8
 LEAST_WORDS = 20
 ROUNDS = 25
-#: One pseudo vote of each kind keeps rates off zero.
-PRIOR_VOTES = 1.0
-#: Where the rates start: votes against, abstentions, votes for.
-START_GOOD = (0.05, 0.25, 0.70)
-START_BAD = (0.35, 0.30, 0.35)
-START_SHARE = 0.8
+#: Accuracies start here, with so many votes behind the start, and stay within bounds.
+START, START_VOTES = 0.8, 10.0
+LEAST_ACCURACY, MOST_ACCURACY = 0.05, 0.99
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -64,7 +62,7 @@ def features(docs: DataFrame) -> DataFrame:
     out = out.withColumn("lines", lines).withColumn("n_words", F.size("words").cast("long"))
     places = F.sequence(F.lit(0), F.size("words") - WINDOW)
     hashes = F.transform("words", lambda w: F.xxhash64(w))
-    windows = _bound(hashes, lambda h: F.transform(places, lambda i: F.xxhash64(F.slice(h, i + 1, WINDOW))))
+    windows = _bound(hashes, lambda h: F.transform(places, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
     out = out.withColumn("windows", F.when(F.size("words") >= WINDOW, windows))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     ordered = F.when(repeats, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -86,16 +84,17 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-#: Rule: (condition against, condition for), as SQL over the features.
+#: Rule: (condition against, condition for), as SQL over the features; neither: the rule abstains.
 RULES = {
-    "length": ("n_words < 20", "n_words >= 50"),
-    "symbols": ("10 * n_symbols > n_words", "n_symbols = 0"),
-    "dup_lines": ("10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 AND n_lines >= 2"),
-    "repeats": ("10 * n_repeat_words > 2 * n_words", "n_repeat_words = 0"),
-    "capitals": ("2 * n_capitals > word_chars", "10 * n_capitals < word_chars"),
-    "bangs": ("4 * n_bangs > n_words", "n_bangs = 0"),
-    "word_length": ("word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words"),
-    "sentences": ("5 * n_ended < n_lines", "5 * n_ended >= 4 * n_lines"),
+    "length": ("n_words < 20", "FALSE"),
+    "symbols": ("10 * n_symbols > n_words", "FALSE"),
+    "dup_lines": ("10 * n_dup_lines > 3 * n_lines", "FALSE"),
+    "repeats": ("10 * n_repeat_words > 2 * n_words", "FALSE"),
+    "capitals": ("2 * n_capitals > word_chars", "FALSE"),
+    "bangs": ("4 * n_bangs > n_words", "FALSE"),
+    "word_length": ("word_chars < 2 * n_words OR word_chars > 15 * n_words", "FALSE"),
+    "sentences": ("5 * n_ended < n_lines", "2 * n_ended >= n_lines AND 50 * n_symbols <= n_words AND 20 * n_bangs <= n_words"),
+    "prose": ("FALSE", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words AND 5 * n_capitals <= word_chars AND 10 * n_symbols <= n_words"),
 }
 BASE_FAILED = f"(n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 30 * n_words)"
 
@@ -105,52 +104,42 @@ def _vote(rule: str) -> str:
     return f"CASE WHEN {against} THEN -1 WHEN {for_} THEN 1 ELSE 0 END"
 
 
-def _posterior(rates: dict[str, tuple[list[float], list[float]]], share: float) -> Column:
+def _posterior(accuracy: dict[str, float]) -> Column:
     """Probability of a good text, from its votes.
 
-    The numbers stand in arrays, one per rule, with the prior odds in the first: Spark then compiles the same code once for all rounds.
+    The numbers stand in arrays: Spark then compiles the same code once for all rounds.
     """
     odds = None
-    for rule, (good, bad) in rates.items():
-        prior = math.log(share / (1 - share)) if odds is None else 0.0
-        logs = F.get(F.lit([prior + math.log(g / b) for g, b in zip(good, bad, strict=True)]), F.col(f"v_{rule}") + 1)
-        odds = logs if odds is None else odds + logs
+    for rule, a in accuracy.items():
+        log = math.log(a / (1 - a))
+        term = F.get(F.lit([-log, 0.0, log]), F.col(f"v_{rule}") + 1)
+        odds = term if odds is None else odds + term
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, rounds: int = ROUNDS):
-    """Rates and share of good texts after ``rounds`` rounds, from (votes, ``rows``) per pattern."""
-    rates = {r: (list(START_GOOD), list(START_BAD)) for r in RULES}
-    share = START_SHARE
+def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
+    """Accuracies after ``rounds`` rounds, from (votes, ``rows``) per pattern."""
+    accuracy = dict.fromkeys(RULES, START)
     for _ in range(rounds):
-        weighed = patterns.withColumn("good", F.col("rows") * _posterior(rates, share))
-        sums = [F.sum("rows").alias("all"), F.sum("good").alias("all_good")]
+        weighed = patterns.withColumn("good", _posterior(accuracy))
+        sums = []
         for rule in RULES:
-            for v in (-1, 0, 1):
-                hit = F.col(f"v_{rule}") == v
-                sums += [F.sum(F.when(hit, F.col("rows"))).alias(f"{rule}{v}"), F.sum(F.when(hit, F.col("good"))).alias(f"{rule}{v}_good")]
+            v = F.col(f"v_{rule}")
+            right = F.when(v == 1, F.col("good")).when(v == -1, 1 - F.col("good")).otherwise(F.lit(0.0))
+            sums += [F.sum(F.col("rows") * right).alias(f"{rule}_right"), F.sum(F.col("rows") * F.abs(v)).alias(f"{rule}_votes")]
         s = weighed.agg(*sums).first().asDict()
-        if not s["all"]:
-            break
-        n, n_good = float(s["all"]), s["all_good"]
-        share = (n_good + PRIOR_VOTES) / (n + 2 * PRIOR_VOTES)
         for rule in RULES:
-            good = [s[f"{rule}{v}_good"] or 0.0 for v in (-1, 0, 1)]
-            both = [float(s[f"{rule}{v}"] or 0) for v in (-1, 0, 1)]
-            rates[rule] = (
-                [(g + PRIOR_VOTES) / (n_good + 3 * PRIOR_VOTES) for g in good],
-                [(b - g + PRIOR_VOTES) / (n - n_good + 3 * PRIOR_VOTES) for b, g in zip(both, good, strict=True)],
-            )
-    return rates, share
+            a = ((s[f"{rule}_right"] or 0.0) + START * START_VOTES) / (float(s[f"{rule}_votes"] or 0) + START_VOTES)
+            accuracy[rule] = min(MOST_ACCURACY, max(LEAST_ACCURACY, a))
+    return accuracy
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Per row the counts, the base verdict, the posterior probability of being good, and whether the text is kept."""
     voted = stored(features(docs).withColumns({f"v_{r}": F.expr(_vote(r)) for r in RULES}), "votes")
     patterns = stored(voted.groupBy(*[f"v_{r}" for r in RULES]).agg(F.count("*").alias("rows")), "patterns")
-    rates, share = estimate(patterns)
     failed = F.expr(BASE_FAILED)
-    good = _posterior(rates, share)
+    good = _posterior(estimate(patterns))
     return voted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (good >= 0.5)).alias("kept"), F.round(good, 6).alias("p_good"),
@@ -162,16 +151,13 @@ def _judge_sql() -> str:
     b = r"\x20\x09-\x0D"
     votes = ", ".join(f"{_vote(r)} AS v_{r}" for r in RULES)
     names = ", ".join(f"v_{r}" for r in RULES)
-    start = " + ".join(f"CASE v_{r} " + " ".join(f"WHEN {v} THEN ln({g} / {x})" for v, g, x in zip((-1, 0, 1), START_GOOD, START_BAD, strict=True)) + " END" for r in RULES)
-    terms = []
-    for r in RULES:
-        w = f"OVER (PARTITION BY v_{r})"
-        terms.append(
-            f"ln(((sum(c * q) {w} + {PRIOR_VOTES}) / (sum(c * q) OVER () + {3 * PRIOR_VOTES}))"
-            f" / ((sum(c * (1 - q)) {w} + {PRIOR_VOTES}) / (sum(c * (1 - q)) OVER () + {3 * PRIOR_VOTES})))"
-        )
-    again = " + ".join(terms)
-    prior = f"ln((sum(c * q) OVER () + {PRIOR_VOTES}) / (sum(c * (1 - q)) OVER () + {PRIOR_VOTES}))"
+    start = " + ".join(f"v_{r} * ln({START} / {1 - START:.10g})" for r in RULES)
+
+    def accuracy(r: str) -> str:
+        right = f"sum(c * CASE v_{r} WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) OVER ()"
+        return f"least({MOST_ACCURACY}, greatest({LEAST_ACCURACY}, ({right} + {START * START_VOTES}) / (sum(c * abs(v_{r})) OVER () + {START_VOTES})))"
+
+    again = " + ".join(f"v_{r} * ln({accuracy(r)} / (1 - {accuracy(r)}))" for r in RULES)
     return rf"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -195,9 +181,9 @@ f AS (SELECT w.rid, doc_id, CAST(len(words) AS BIGINT) AS n_words,
 v AS (SELECT *, {votes} FROM f),
 p AS (SELECT {names}, count(*)::DOUBLE AS c FROM v GROUP BY ALL),
 em AS (
-  SELECT 0 AS k, *, 1 / (1 + exp(-(ln({START_SHARE} / {1 - START_SHARE:.10g}) + {start}))) AS q FROM p
+  SELECT 0 AS k, *, 1 / (1 + exp(-({start}))) AS q FROM p
   UNION ALL
-  SELECT k + 1, {names}, c, 1 / (1 + exp(-({prior} + {again}))) FROM em WHERE k < {ROUNDS})
+  SELECT k + 1, {names}, c, 1 / (1 + exp(-({again}))) FROM em WHERE k < {ROUNDS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {BASE_FAILED} AS base_failed,
        (NOT {BASE_FAILED} AND q >= 0.5) AS kept, round(q, 6) AS p_good
 FROM v JOIN (SELECT * FROM em WHERE k = {ROUNDS}) USING ({names})
