@@ -15,7 +15,6 @@ from skyfold.functions.labels import sector_label, signed_log
 from skyfold.operators import graph as G
 from skyfold.operators import splits as SP
 from skyfold.plans import eda
-from skyfold.plans.enrich import holiday_dates
 
 # ---------------------------------------------------------------- coded text
 
@@ -203,11 +202,22 @@ def local_clock_utc_corrected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HOLIDAYS = C.us_holidays(range(1995, 2003))
-_HOLIDAYS_SQL = "VALUES " + ", ".join(f"(DATE '{d}')" for d in holiday_dates())
+
+
+def _holidays_sql(first: int, end: int) -> str:
+    """Holidays of the years from ``first`` up to ``end``, by rules of their own: fixed days, n-th weekdays, the last Monday of May."""
+    years = f"range({first}, {end}) t(y)"
+    return f"""SELECT make_date(y, m, d) AS d FROM {years}, (VALUES (1, 1), (7, 4), (11, 11), (12, 24), (12, 25)) f(m, d)
+    UNION ALL SELECT make_date(y, m, 1) + CAST((w - isodow(make_date(y, m, 1)) + 7) % 7 + 7 * (n - 1) AS INTEGER)
+      FROM {years}, (VALUES (1, 1, 3), (2, 1, 3), (9, 1, 1), (10, 1, 2), (11, 4, 4)) f(m, w, n)
+    UNION ALL SELECT make_date(y, 5, 31) - CAST(isodow(make_date(y, 5, 31)) - 1 AS INTEGER) FROM {years}"""
+
+
+_HOLIDAYS_SQL = _holidays_sql(2015, 2020) + " UNION ALL SELECT DATE '2020-01-01'"
 
 
 @query(
-    "WITH h(d) AS (VALUES " + ", ".join(f"(DATE '{d}')" for d, _ in _HOLIDAYS) + """)
+    "WITH h(d) AS (" + _holidays_sql(1995, 2003) + """)
     SELECT o_orderkey, CAST(EXISTS (SELECT 1 FROM h WHERE abs(date_diff('day', d, CAST(o_orderdate AS DATE))) <= 2)
       AS INTEGER) AS is_holiday FROM orders"""
 )
@@ -256,7 +266,8 @@ def signed_log_values(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- graph
 
 _EDGES = 'edges AS (SELECT "ORIGIN" AS src, "DEST" AS dst, count(*) AS weight FROM legs GROUP BY 1, 2)'
-_ROUNDS = 10
+_ROUNDS = 25  # in SQL, well past what the ranks need to settle
+_SETTLED = 1e-9
 
 
 def _rank_sql(rounds: int = _ROUNDS) -> str:
@@ -265,7 +276,7 @@ def _rank_sql(rounds: int = _ROUNDS) -> str:
     flow AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM edges),
     cnt AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT node, 1.0::DOUBLE / n AS r FROM nodes, cnt)"""
     for i in range(rounds):
-        head += f""", r{i + 1} AS (SELECT nodes.node, 0.15 / any_value(n) + 0.85 * coalesce(sum(r * p), 0) + 0.85 / any_value(n) *
+        head += f""", r{i + 1} AS MATERIALIZED (SELECT nodes.node, 0.15 / any_value(n) + 0.85 * coalesce(sum(r * p), 0) + 0.85 / any_value(n) *
       coalesce((SELECT sum(r) FROM r{i} WHERE node NOT IN (SELECT src FROM edges)), 0) AS r
       FROM nodes CROSS JOIN cnt LEFT JOIN flow ON flow.dst = nodes.node LEFT JOIN r{i} ON r{i}.node = flow.src GROUP BY 1)"""
     return head
@@ -291,14 +302,14 @@ def degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_rank_sql()} SELECT node, round(r, 8) AS pagerank FROM r{_ROUNDS}", legs=True)
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    ranks = G.pagerank(_edges(spark, sf), max_iter=_ROUNDS, tol=None)
+    ranks = G.pagerank(_edges(spark, sf), tol=_SETTLED)
     return rounded(ranks, "pagerank", digits=8)
 
 
-@query(name="pagerank_to_tolerance")
+@query(f"WITH {_rank_sql()} SELECT node, round(r, 6) AS pagerank FROM r{_ROUNDS}", name="pagerank_to_tolerance", legs=True)
 def pagerank_to_tolerance(spark: SparkSession, sf: str) -> DataFrame:
     """Iterated until the summed change falls below nodes * 1e-6."""
-    return rounded(G.pagerank(_edges(spark, sf)), "pagerank", digits=8)
+    return rounded(G.pagerank(_edges(spark, sf)), "pagerank", digits=6)
 
 
 _FEATURES = ["origin_pagerank", "dest_pagerank", "origin_out_degree", "dest_in_degree"]
@@ -308,7 +319,7 @@ _NODE_SQL = f"""{_rank_sql()}, m AS (SELECT r{_ROUNDS}.node, r, (SELECT sum(weig
 
 def _with_graph(spark: SparkSession, sf: str) -> DataFrame:
     df = legs(spark, sf)
-    nodes = G.node_metrics(G.weighted_edges(df, "ORIGIN", "DEST"), max_iter=_ROUNDS, tol=None)
+    nodes = G.node_metrics(G.weighted_edges(df, "ORIGIN", "DEST"), tol=_SETTLED)
     return G.attach_graph_features(df, nodes, "ORIGIN", "DEST")
 
 
@@ -342,7 +353,7 @@ def airport_importance(spark: SparkSession, sf: str) -> DataFrame:
 def top_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     """Routes among the ten places of highest rank."""
     edges = _edges(spark, sf)
-    return G.top_subgraph(edges, G.pagerank(edges, max_iter=_ROUNDS, tol=None), "pagerank", 10)
+    return G.top_subgraph(edges, G.pagerank(edges, tol=_SETTLED), "pagerank", 10)
 
 
 # ---------------------------------------------------------------- splits and sampling

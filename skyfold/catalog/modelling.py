@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyfold.catalog.domain import _FOLDS
 from skyfold.catalog.base import legs, query, rounded, table
 from skyfold.operators import featurize as X
 from skyfold.operators import metrics as M
@@ -25,13 +26,13 @@ from skyfold.sources import tables as S
 
 @query(
     """WITH k AS (SELECT c_mktsegment AS s, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) - 1 AS i
-      FROM customer WHERE c_nationkey < 20 GROUP BY 1)
+      FROM customer GROUP BY 1)
     SELECT c_custkey, CAST(i AS DOUBLE) AS c_mktsegment_idx FROM customer JOIN k ON c_mktsegment = s"""
 )
 def string_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Indices learnt on part of the customers, most frequent first, applied to all."""
-    customer = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    model = X.index_stage(["c_mktsegment"]).fit(customer.filter("c_nationkey < 20"))
+    """Indices of the market segments, most frequent first."""
+    customer = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    model = X.index_stage(["c_mktsegment"]).fit(customer)
     return model.transform(customer).select("c_custkey", "c_mktsegment_idx")
 
 
@@ -331,8 +332,7 @@ def metrics_table(spark: SparkSession, sf: str) -> DataFrame:
     """Run records appended to a metrics table and read back."""
     path = scratch_path(spark, "metrics")
     folds = rounded(M.confusion(_preds(spark, sf), "label", by=["fold"]), "f2", "recall")
-    for r in folds.select("fold", "f2", "recall").collect():
-        S.append_metrics(spark, path, [r.asDict()], "fold bigint, f2 double, recall double")
+    folds.select("fold", "f2", "recall").write.mode("append").parquet(path)
     return S.read_parquet(spark, path)
 
 
@@ -364,18 +364,16 @@ def majority_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT o_orderkey, o_orderdate FROM orders)
-    SELECT fold, role, count(*) AS n FROM o JOIN (VALUES
-      (1, 'train', DATE '1995-01-01', DATE '1997-01-01'), (1, 'val', DATE '1997-01-01', DATE '1998-01-01'),
-      (2, 'train', DATE '1996-01-01', DATE '1998-01-01'), (2, 'val', DATE '1998-01-01', DATE '1999-01-01'),
-      (3, 'train', DATE '1997-01-01', DATE '1999-01-01'), (3, 'val', DATE '1999-01-01', DATE '2000-01-01'))
-      f(fold, role, a, b) ON o_orderdate >= a AND o_orderdate < b GROUP BY 1, 2"""
+    f"""WITH {_FOLDS}, r AS (SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN o_orderdate < b THEN 'train' ELSE 'val' END AS role
+      FROM orders JOIN f ON o_orderdate >= a AND o_orderdate < c)
+    SELECT fold, role, count(*) AS n FROM r GROUP BY 1, 2"""
 )
 def fold_partitions(spark: SparkSession, sf: str) -> DataFrame:
     """Folds written as partitions of one table, discovered and counted from it."""
-    folds = SP.rolling_folds(dt.date(1995, 1, 1), dt.date(1999, 12, 31), SP.FoldSpec(24, 12, 12))
+    orders = table(spark, sf, "orders")
+    folds = SP.rolling_folds(*SP.day_range(orders, "o_orderdate"), SP.FoldSpec(24, 12, 12))
     path = scratch_path(spark, "folds")
-    S.write_partitioned(SP.assign_folds(table(spark, sf, "orders"), "o_orderdate", folds), path, ["fold", "role"])
+    S.write_partitioned(SP.assign_folds(orders, "o_orderdate", folds), path, ["fold", "role"])
     stored = S.read_parquet(spark, path)
     return stored.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
@@ -386,9 +384,9 @@ _FEATURES = ["DISTANCE", "CRS_ELAPSED_TIME", "DEP_DELAY", "NOISY_DELAY", "CRS_DE
 
 
 def _folds(spark: SparkSession, sf: str) -> list[tuple[int, DataFrame, DataFrame]]:
-    """Two rolling folds of the model table."""
+    """All rolling folds of the model table."""
     df = _model_table(spark, sf)
-    folds = SP.rolling_folds(dt.date(1995, 1, 1), dt.date(1998, 12, 31), SP.FoldSpec(24, 12, 12))
+    folds = SP.rolling_folds(*SP.day_range(df, "FL_DATE"), SP.FoldSpec(24, 12, 12))
     long = SP.assign_folds(df, "FL_DATE", folds)
 
     def part(k: int, role: str) -> DataFrame:
@@ -400,17 +398,17 @@ def _folds(spark: SparkSession, sf: str) -> list[tuple[int, DataFrame, DataFrame
 
 @query()
 def rf_fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Random forests over a small grid and two rolling folds."""
+    """Random forests over a small grid and all rolling folds."""
     build = ML.rf_builder("ARR_DEL15", _FEATURES)
-    grid = {"numTrees": [5], "maxDepth": [3, 5], "maxBins": [400]}
+    grid = {"numTrees": [20], "maxDepth": [3, 5], "maxBins": [400]}
     return ML.grid_on_folds(_folds(spark, sf), grid, build, "ARR_DEL15")
 
 
 @query()
 def gbt_fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted trees over a small grid and two rolling folds."""
+    """Boosted trees over a small grid and all rolling folds."""
     build = ML.gbt_builder("ARR_DEL15", _FEATURES)
-    grid = {"maxIter": [4], "stepSize": [0.1, 0.3], "maxDepth": [3]}
+    grid = {"maxIter": [20], "stepSize": [0.1, 0.3], "maxDepth": [3]}
     return ML.grid_on_folds(_folds(spark, sf), grid, build, "ARR_DEL15")
 
 
@@ -420,7 +418,7 @@ def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     df = SP.add_class_weights(_model_table(spark, sf), "ARR_DEL15")
     features, train, _ = X.fit_apply(_CFG, df, {})
     build = ML.rf_builder("ARR_DEL15", "log_unscaled_features", weight="weight")
-    model = build({"numTrees": 5, "maxDepth": 4}).fit(train)
+    model = build({"numTrees": 20, "maxDepth": 4}).fit(train)
     return ML.feature_importance(model, model.transform(train))
 
 
@@ -431,7 +429,7 @@ def blind_test_metrics(spark: SparkSession, sf: str) -> DataFrame:
     cut = F.lit(dt.date(1999, 1, 1))
     build = ML.rf_builder("ARR_DEL15", _FEATURES)
     _, found = ML.blind_test(
-        build, {"numTrees": 5, "maxDepth": 5}, df.filter(F.col("FL_DATE") < cut), df.filter(F.col("FL_DATE") >= cut),
+        build, {"numTrees": 20, "maxDepth": 5}, df.filter(F.col("FL_DATE") < cut), df.filter(F.col("FL_DATE") >= cut),
         "ARR_DEL15",
     )
     return spark.createDataFrame([tuple(found.values())], M.EVAL_SCHEMA)
@@ -441,7 +439,7 @@ def blind_test_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def random_cv_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Random two-fold grid search; mean score per parameter set."""
     assembled = X.assemble(_FEATURES, "features").transform(_model_table(spark, sf))
-    forest = RandomForestClassifier(labelCol="ARR_DEL15", numTrees=3, seed=42)
+    forest = RandomForestClassifier(labelCol="ARR_DEL15", numTrees=20, seed=42)
     model = ML.random_cv(assembled.select("features", "ARR_DEL15"), forest, {"maxDepth": [2, 4]}, "ARR_DEL15", folds=2)
     depths = [list(p.values())[0] for p in model.getEstimatorParamMaps()]
     return spark.createDataFrame([(d, float(m)) for d, m in zip(depths, model.avgMetrics, strict=True)], "max_depth int, pr_auc double")

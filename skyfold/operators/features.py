@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyfold.functions.clock import epoch_seconds
-from skyfold.operators.ordered import previous_event
+from skyfold.operators.ordered import ROWS_PER_SEGMENT, previous_event
 from skyfold.operators.quality import null_profile
 from skyfold.operators.reports import median
 
@@ -25,7 +25,7 @@ def previous_leg_features(
     arr_delay: str,
     tie: str,
     gap_seconds: int = 3661,
-    hot_share: float | None = None,
+    rows_per_segment: int = ROWS_PER_SEGMENT,
 ) -> DataFrame:
     """What is known about the same vehicle's previous leg ``gap_seconds`` before the scheduled departure.
 
@@ -34,7 +34,7 @@ def previous_leg_features(
     arrival, and the hours between the previous arrival and this departure as ``leakage``.
     """
     prev = {arr_delay: "_prev_delay", arr: "_prev_arr", sched_arr: "prev_crs_arr_time_utc"}
-    out = previous_event(df, key, sched_dep, prev, tie, hot_share)
+    out = previous_event(df, key, sched_dep, prev, tie, rows_per_segment)
     dep, was = epoch_seconds(sched_dep), epoch_seconds("_prev_arr")
     arrived = was < dep - gap_seconds
     return out.withColumns(

@@ -133,13 +133,15 @@ def evaluate(preds: DataFrame, label: str, metrics: Sequence[str]) -> dict[str,
         "log_loss": {"metricName": "logLoss"},
     }
     binary = {"pr_auc": "areaUnderPR", "roc_auc": "areaUnderROC"}
+    kept = preds.select(*[c for c in (label, "prediction", "probability", "rawPrediction") if c in preds.columns]).persist()
     found = {}
     for m in metrics:
         if m in binary:
             evaluator = BinaryClassificationEvaluator(labelCol=label, metricName=binary[m])
         else:
             evaluator = MulticlassClassificationEvaluator(labelCol=label, **multi[m])
-        found[m] = evaluator.evaluate(preds)
+        found[m] = evaluator.evaluate(kept)
+    kept.unpersist()
     return found
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skyfold.config import FOLD_MONTHS, HOLDOUT_MONTHS
 from skyfold.operators.ordered import global_rank
+from skyfold.session import stored
 
 
 def add_months(day: dt.date, months: int) -> dt.date:
@@ -143,24 +144,12 @@ def downsample(df: DataFrame, label: str, key: str | Sequence[str], target_ratio
     return df.filter((F.col(label) == 1) | ((F.col(label) == 0) & (hash_share(*keys) < keep)))
 
 
-def add_class_weights(df: DataFrame, label_col: str, weight_col: str = "weight", most_classes: int = 1000) -> DataFrame:
-    """Weight ``rows / (classes * rows of the class)`` per row.
+def add_class_weights(df: DataFrame, label_col: str, weight_col: str = "weight") -> DataFrame:
+    """Weight ``rows / (classes * rows of the class)`` per row, joined from the class counts.
 
-    With up to ``most_classes`` classes the weights become a constant lookup, so the rows, few labels
-    and all of them hot, are not shuffled; beyond that they are joined from the class counts.
+    The counts have a row per class; adaptive execution broadcasts them when they are small and splits hot classes when not.
     """
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
-    found = counts.limit(most_classes + 1).collect()
-    if len(found) <= most_classes:
-        total = sum(r["_n"] for r in found)
-        weights = {r[label_col]: total / (len(found) * r["_n"]) for r in found}
-        unlabelled = weights.pop(None, None)
-        known = F.lit(None)
-        if weights:
-            pairs = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-            known = F.try_element_at(pairs, F.col(label_col))
-        weight = F.when(F.col(label_col).isNull(), F.lit(unlabelled)).otherwise(known)
-        return df.withColumn(weight_col, weight.cast("double"))
+    counts = stored(df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n")), "class_counts")
     total, classes = counts.agg(F.sum("_n")).scalar(), counts.agg(F.count(F.lit(1))).scalar()
     table = counts.select(
         F.col(label_col).alias("_label"), (total / (classes * F.col("_n"))).cast("double").alias(weight_col)
