@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from skyfold.llm.common import whole_text
 
 #: Bytes of text in a segment, and bytes of text per bucket of keys.
-SEGMENT_BYTES = 24 << 20
+SEGMENT_BYTES = 16 << 20
 BUCKET_BYTES = 24 << 20
 #: A task packs documents whenever it holds so many bytes of them.
 _PACKED_BYTES = 48 << 20
