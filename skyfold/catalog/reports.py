@@ -485,7 +485,7 @@ _PERIODS = {"before_1998": "YEAR < 1998", "from_1998": "YEAR >= 1998", "all": "t
 )
 def dataset_comparison(spark: SparkSession, sf: str) -> DataFrame:
     df = legs(spark, sf, carrier=False, origin=False, dest=False)
-    return P.compare_datasets({n: df.filter(w) for n, w in _PERIODS.items()}, "ARR_DEL15", "FL_DATE")
+    return P.compare_datasets(df, {n: F.expr(w) for n, w in _PERIODS.items()}, "ARR_DEL15", "FL_DATE")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 1")

@@ -67,26 +67,21 @@ def min_max(df: DataFrame, col: str, lo: str = "min_value", hi: str = "max_value
     return df.agg(F.min(col).alias(lo), F.max(col).alias(hi))
 
 
-def compare_datasets(tables: Mapping[str, DataFrame], flag: str, date_col: str) -> DataFrame:
-    """Size, class balance and period of several tables in one pass over each.
-
-    Every table is aggregated before the union, so nothing but one row per table is shuffled.
-    """
-    parts = []
-    for name, df in tables.items():
-        parts.append(
-            df.agg(
-                F.count_if(F.col(flag) == 0).alias("class_0_count"),
-                F.count_if(F.col(flag) == 1).alias("class_1_count"),
-                F.count(F.lit(1)).alias("total_rows"),
-                F.min(date_col).alias("start_date"),
-                F.max(date_col).alias("end_date"),
-            ).withColumn("dataset_name", F.lit(name))
+def compare_datasets(df: DataFrame, datasets: Mapping[str, Column], flag: str, date_col: str) -> DataFrame:
+    """Size, class balance and period of several parts of a table, each given by a condition, in one pass."""
+
+    def part(name: str, own: Column) -> Column:
+        return F.struct(
+            F.count_if(own & (F.col(flag) == 0)).alias("class_0_count"),
+            F.count_if(own & (F.col(flag) == 1)).alias("class_1_count"),
+            F.count_if(own).alias("total_rows"),
+            F.min(F.when(own, F.col(date_col))).alias("start_date"),
+            F.max(F.when(own, F.col(date_col))).alias("end_date"),
+            F.lit(name).alias("dataset_name"),
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("class_1_pct", F.round(rate(F.col("class_1_count"), F.col("total_rows")), 2))
+
+    one = df.agg(F.array(*[part(n, c) for n, c in datasets.items()]).alias("parts"))
+    return one.select(F.inline("parts")).withColumn("class_1_pct", F.round(rate(F.col("class_1_count"), F.col("total_rows")), 2))
 
 
 def rate_matrix(

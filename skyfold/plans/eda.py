@@ -19,7 +19,7 @@ from skyfold.functions.labels import (
     thousands_label,
 )
 from skyfold.operators.ordered import share_of_total, top_n_per_group
-from skyfold.operators.relational import coerce, in_box, outer_merge, top_k, where_all
+from skyfold.operators.relational import coerce, in_box, top_k, where_all
 from skyfold.operators.reports import (
     avg_where,
     busiest,
@@ -28,11 +28,13 @@ from skyfold.operators.reports import (
     histogram,
     mean_by,
     mean_flag_by,
+    rate,
     rate_by,
     rate_matrix,
     resample,
     summarise_report,
 )
+from skyfold.session import stored
 
 LATE = "ARR_DEL15"
 CARRIER = "OP_UNIQUE_CARRIER"
@@ -127,7 +129,10 @@ def _domestic(flights: DataFrame) -> DataFrame:
 
 def _route_rates(flights: DataFrame, min_total: int) -> DataFrame:
     """Rate per route with readable coordinates inside the continental box."""
-    report = rate_by(flights, ["ORIGIN", "DEST", *COORDS], LATE, min_total=min_total, **NAMES)
+    return _readable(rate_by(flights, ["ORIGIN", "DEST", *COORDS], LATE, min_total=min_total, **NAMES))
+
+
+def _readable(report: DataFrame) -> DataFrame:
     return in_box(coerce(report, COORDS), "DEST_LAT", "DEST_LON", CONTINENTAL_BOX).dropna()
 
 
@@ -139,26 +144,34 @@ def routes_from(flights: DataFrame, airport: str, k: int = 20, min_total: int =
 
 def worst_routes_of_top_origins(flights: DataFrame, origins: int = 5, routes: int = 12, min_total: int = 50) -> DataFrame:
     """The worst routes of each of the origins with most delayed flights."""
-    domestic = _domestic(flights)
-    late = domestic.groupBy("ORIGIN", "ORIGIN_LAT", "ORIGIN_LONG").agg(
-        F.sum(F.col(LATE).cast("int")).alias("delayed_flights")
-    )
+    # One report of all routes, written once: the origins are summed from it, and their routes are picked from it.
+    report = stored(rate_by(_domestic(flights), ["ORIGIN", "DEST", *COORDS], LATE, **NAMES), "routes")
+    total, delayed = NAMES["total"], NAMES["flagged"]
+    late = report.groupBy("ORIGIN", "ORIGIN_LAT", "ORIGIN_LONG").agg(F.sum(delayed).alias("delayed_flights"))
     top = top_k(late, "delayed_flights", origins, "ORIGIN", "ORIGIN_LAT", "ORIGIN_LONG").select("ORIGIN").distinct()
-    own = _route_rates(domestic, min_total).join(top, "ORIGIN", "left_semi")
+    own = _readable(report.filter(F.col(total) >= min_total)).join(top, "ORIGIN", "left_semi")
     return top_n_per_group(own, "ORIGIN", "delay_pct", routes, "DEST", *COORDS)
 
 
-def city_delays(flights: DataFrame, k: int = 20) -> DataFrame:
-    """Cities as origin against as destination, the k with most delays in both roles together."""
+def _ends(flights: DataFrame, name: str, origin: dict[str, str], dest: dict[str, str]) -> DataFrame:
+    """Every flight as its two ends, so that both roles are counted in one pass. A column of the other role is null."""
 
-    def side(col: str, role: str) -> DataFrame:
-        report = rate_by(
-            flights, col, LATE, total=f"{role}_total", flagged=f"{role}_delayed", rate_col=f"{role}_delay_pct"
-        )
-        return report.withColumnRenamed(col, "city")
+    def end(role: str, cols: dict[str, str]) -> Column:
+        return F.struct(F.lit(role).alias("role"), *[F.col(c).alias(n) for n, c in cols.items()])
 
-    merged = outer_merge(side("ORIGIN_CITY_NAME", "origin"), side("DEST_CITY_NAME", "dest"), "city")
-    summed = merged.withColumn("total_delayed", F.col("origin_delayed") + F.col("dest_delayed"))
+    return flights.select(F.inline(F.array(end("origin", origin), end("dest", dest)))).withColumnRenamed("_name", name)
+
+
+def city_delays(flights: DataFrame, k: int = 20) -> DataFrame:
+    """Cities as origin against as destination, the k with most delays in both roles together."""
+    ends = _ends(flights, "city", {"_name": "ORIGIN_CITY_NAME", "late": LATE}, {"_name": "DEST_CITY_NAME", "late": LATE})
+    counts = []
+    for role in ("origin", "dest"):
+        own = F.col("role") == role
+        counts += [F.count_if(own).alias(f"{role}_total"), F.coalesce(F.sum(F.when(own, F.col("late").cast("int"))), F.lit(0)).alias(f"{role}_delayed")]
+    both = ends.groupBy("city").agg(*counts)
+    pct = {f"{r}_delay_pct": F.coalesce(rate(F.col(f"{r}_delayed"), F.col(f"{r}_total")), F.lit(0.0)) for r in ("origin", "dest")}
+    summed = both.withColumns(pct).withColumn("total_delayed", F.col("origin_delayed") + F.col("dest_delayed"))
     return top_k(summed, "total_delayed", k, "city")
 
 
@@ -298,13 +311,19 @@ def top_destinations(flights: DataFrame, origins: DataFrame, n: int = 3) -> Data
 
 def airport_importance(flights: DataFrame) -> DataFrame:
     """Mean rank and summed degree of every airport, as origin and as destination."""
-    origin = flights.groupBy(F.col("ORIGIN").alias("Airport")).agg(
-        F.avg("origin_pagerank").alias("origin_pagerank"), F.sum("origin_out_degree").alias("OutDegree")
+    ends = _ends(
+        flights,
+        "Airport",
+        {"_name": "ORIGIN", "rank": "origin_pagerank", "degree": "origin_out_degree"},
+        {"_name": "DEST", "rank": "dest_pagerank", "degree": "dest_in_degree"},
     )
-    dest = flights.groupBy(F.col("DEST").alias("Airport")).agg(
-        F.avg("dest_pagerank").alias("dest_pagerank"), F.sum("dest_in_degree").alias("InDegree")
+    of = lambda role, c: F.when(F.col("role") == role, F.col(c))
+    return ends.groupBy("Airport").agg(
+        F.avg(of("origin", "rank")).alias("origin_pagerank"),
+        F.sum(of("origin", "degree")).alias("OutDegree"),
+        F.avg(of("dest", "rank")).alias("dest_pagerank"),
+        F.sum(of("dest", "degree")).alias("InDegree"),
     )
-    return outer_merge(origin, dest, "Airport", None)
 
 
 def label_balance(flights: DataFrame) -> DataFrame:
