@@ -181,7 +181,7 @@ def vector_slot_names(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(slots, "idx int, name string")
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS part, CAST(1 AS INTEGER) AS set_slots FROM lineitem")
 def hashed_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Hashed vectors of a high-cardinality id, with the number of set slots."""
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("part"))

@@ -404,6 +404,14 @@ def cause_totals(spark: SparkSession, sf: str) -> DataFrame:
     return eda.cause_totals(legs(spark, sf))
 
 
+@query(
+    f"WITH {_CAUSE_ROUTES} SELECT route, CAST(sum(num_delayed_flights) AS BIGINT) AS total_count FROM r GROUP BY 1",
+    legs=True,
+)
+def cause_route_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return eda.cause_route_totals(legs(spark, sf))
+
+
 @query(
     """SELECT "ORIGIN", "DEST", count(*) AS num_flights FROM legs GROUP BY 1, 2
     ORDER BY num_flights DESC, 1, 2 LIMIT 10""",

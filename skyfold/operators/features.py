@@ -87,13 +87,15 @@ def clean_nulls(
 ) -> tuple[DataFrame, list[str], DataFrame]:
     """Filled frame, columns still holding nulls, and a report of nulls per column before and after.
 
-    The report also says whether nulls were expected in the column. One pass counts the nulls; what a
+    The report also says whether nulls were expected in the column; expected columns that the frame lacks are listed without counts. One pass counts the nulls; what a
     fill leaves over follows from it.
     """
     policy = fit_fill(df, zero, medians, constants, accuracy)
     counts = [(r["column_name"], r["null_count"]) for r in null_profile(df).collect()]
     covered, wanted = set(policy.covered(df)), set(expected)
     rows = [(c, n, 0 if c in covered else n, c in wanted) for c, n in counts]
+    absent = [c for c in expected if c not in df.columns]  # expected, but not there: no counts
+    rows += [(c, None, None, True) for c in absent]
     report = df.sparkSession.createDataFrame(
         rows, "column_name string, nulls_before bigint, nulls_after bigint, expected boolean"
     )

@@ -298,6 +298,11 @@ def cause_totals(flights: DataFrame, n: int = 10) -> DataFrame:
     return top_routes_per_cause(flights, n).groupBy("cause").agg(F.sum("num_delayed_flights").alias("total_count"))
 
 
+def cause_route_totals(flights: DataFrame) -> DataFrame:
+    """Delayed flights per route over the ten routes of every cause."""
+    return top_routes_per_cause(flights).groupBy("route").agg(F.sum("num_delayed_flights").alias("total_count"))
+
+
 def popular_routes(flights: DataFrame, k: int = 10) -> DataFrame:
     return top_k(count_by(flights, ["ORIGIN", "DEST"], "num_flights"), "num_flights", k, "ORIGIN", "DEST")
 
