@@ -34,7 +34,7 @@ LEXICON, LEXICON_SHARE = 4000, 0.9
 FEATURE_BITS = 17
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.15, 1e-5
 CHAIN_WORDS = 1_000_000
-_BLOCK_BYTES = 8 << 20
+_BLOCK_BYTES = 4 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 

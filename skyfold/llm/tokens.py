@@ -16,7 +16,9 @@ their text; an empty table writes no file and reads as no rows.
 from __future__ import annotations
 
 import json
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,17 @@ from skyfold.session import scratch_path, shuffle_width
 
 END_ID = 2
 #: Most words and word pieces a worker keeps encoded; beyond that it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
+#: Letters below this are known as such to every version of Unicode in use; these marks are pieces by themselves.
+_LATIN_END, _MARKS = "\u0250", ".,;:!?"
+
+
+def _raw(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
 
 class WordEncoder:
@@ -44,46 +56,51 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
+        self.letters: dict[str, str] = {}
+        self.marks = {m: self._ids(m) for m in _MARKS}
         self.special = [t["content"] for t in spec["added_tokens"]]
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _letter(self, c: str) -> str:
+        """A letter as the splitter writes its bytes."""
+        self.letters[c] = "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
+        return self.letters[c]
 
     def _learn(self, fresh: list[bytes]) -> None:
         if len(self.pieces) > self.kept:
             self.pieces.clear()
-        words, pieces, plain = self.words, self.pieces, []
-        for w in fresh:
-            s = w.decode()
-            if any(x in s for x in self.special) or s.split() != [s]:
-                words[w] = self._ids(s)
-            else:
-                plain.append((w, s))
-        # All plain words go through normaliser and splitter at once; pieces never cross a blank.
-        normal = self.tokenizer.normalizer.normalize_str("\n".join(s for _, s in plain))
-        parts = normal.split(" ")
-        if len(parts) != len(plain):  # a character that became white space by normalising
-            words.update((w, self._ids(s)) for w, s in plain)
+        words, pieces, letters = self.words, self.pieces, self.letters
+        joined = b"\n".join(fresh).decode()
+        if any(x in joined for x in self.special) or len(joined.split()) != len(fresh):
+            odd = {w for w in fresh if (s := w.decode()).split() != [s] or any(x in s for x in self.special)}
+            words.update((w, self._ids(w.decode())) for w in odd)
+            fresh = [w for w in fresh if w not in odd]
+            joined = b"\n".join(fresh).decode()
+        # All plain words go through the normaliser at once; pieces never cross a blank.
+        parts = self.tokenizer.normalizer.normalize_str(joined).split(" ")
+        if len(parts) != len(fresh):  # a character that became white space by normalising
+            words.update((w, self._ids(w.decode())) for w in fresh)
             return
         split, merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        whole: dict[str, bytes] = {}
-        for part, (w, _) in zip(parts, plain, strict=True):
-            got = whole.get(part)
-            if got is None:
-                if part.isascii() and part.isalpha():
-                    names = (part,)
-                elif part[:-1].isascii() and part[:-1].isalpha() and part[-1] in ".,;:!?":
-                    names = (part[:-1], part[-1])
+        for part, w in zip(parts, fresh, strict=True):
+            body, mark = (part[:-1], part[-1]) if part[-1] in _MARKS else (part, "")
+            ids = pieces.get(body)
+            if ids is None:
+                if body.isascii():
+                    name = body if body.isalpha() else None
+                elif body.isalpha() and max(body) < _LATIN_END:  # one run of letters
+                    name = "".join([letters.get(c) or self._letter(c) for c in body])
                 else:
-                    names = [p for p, _ in split(part)]
-                out = []
-                for name in names:
-                    ids = pieces.get(name)
-                    if ids is None:
-                        ids = pieces[name] = np.array([t.id for t in merge(name)], "<u4").tobytes()
-                    out.append(ids)
-                got = whole[part] = b"".join(out)
-            words[w] = got
+                    name = None
+                if name is None:
+                    words[w] = b"".join([_raw([t.id for t in merge(p)]) for p, _ in split(part)])
+                    continue
+                ids = pieces[body] = _raw([t.id for t in merge(name)])
+            if mark:
+                ids += self.marks[mark]
+            words[w] = ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as raw little-endian bytes, without an end id."""
