@@ -51,7 +51,8 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     live = seen.groupBy("leaf").agg(F.count("*").alias("k")).filter(F.col("k") >= least_docs).select("leaf")
     mine = seen.join(live, "leaf", "left_semi").groupBy("tie").agg(F.collect_set("leaf").alias("live"))
 
-    held = _lines(texts.join(mine, "tie")).filter(F.array_contains("live", F.col("leaf"))).drop("live")
+    # What joins the texts grows with the corpus, so it is never broadcast, at any size.
+    held = _lines(texts.join(mine.hint("merge"), "tie")).filter(F.array_contains("live", F.col("leaf"))).drop("live")
     held = stored(held.dropDuplicates(["tie", "line"]), "lines")
     tokens = held.select("tie", "line", "leaf", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "tok"))
     tokens = tokens.filter(_masked(F.col("tok")) != VARIABLE)
@@ -72,7 +73,8 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """All rows of ``docs`` with their text rid of recurring lines, as ``_row`` (the row), ``_text``, ``_lines`` and ``_dropped``."""
     gone = stored(recurring(docs, least_docs), "gone")
-    rows = packed(docs, F.xxhash64("text").alias("tie"), F.split("text", "\n").alias("_all")).join(gone, "tie", "left")
+    rows = packed(docs, F.xxhash64("text").alias("tie")).join(gone.hint("merge"), "tie", "left")
+    rows = rows.withColumn("_all", F.split(F.col("_row")["text"], "\n"))
     places = F.sequence(F.lit(0), F.size("_all") - 1)
     stay = F.array_except(places, "gone")
     # The lines are bound once: named inside the lambda they could be split again for every line.
