@@ -2,15 +2,15 @@
 
 A seed is a fixed mask over consecutive tokens: it hashes the tokens it looks at and ignores the others, so an overlap with some
 substituted tokens still shares seeds. Seeds of the benchmark join those of the documents by hash; each joined pair names a diagonal (the
-offset between both texts), and the tokens of both texts along it are compared. The best stretch with four in five tokens equal must reach the least
-length.
+offset between both texts), and the tokens of both texts along it are compared. Some stretch with four in five tokens equal must reach the least
+length (that of the item, if it is shorter). Reported is the best stretch, or the longest where the best is too short.
 
 Few of the documents' seeds are the benchmark's. A bit table of fixed size (2 MB), set from the benchmark's seeds, keeps the
 others from leaving the task that reads the documents; what passes by chance fails the exact join.
 
 Tokens are the words in lower case without marks at either end; words of marks alone are left out. Defined cases: null or empty texts hold
 nothing, on both sides; equal items and equal rows are each reported; items shorter than a seed are found when all their tokens stand in a
-row; an empty table gives no rows.
+row; an overlap whose substitutions leave no seed whole is not found; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,6 +100,16 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def longest_stretch(equal: np.ndarray) -> tuple[int, int, int]:
+    """Start, end and matches of the longest stretch with at least four in five tokens equal; of equal ones the first."""
+    gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
+    # The first place with a sum no higher than that of the end is a new lowest one.
+    starts = np.searchsorted(-np.minimum.accumulate(gain), -gain)
+    end = int(np.argmax(np.arange(len(gain)) - starts))
+    start = int(starts[end])
+    return start, end, int(equal[start:end].sum())
+
+
 ITEMS = "item_id long, item long, tokens array<long>, hash array<long>, pos array<int>"
 REGIONS = "doc_id long, tie long, region long, start long, tokens array<long>, hash array<long>, pos array<long>"
 OVERLAPS = "doc_id long, tie long, item_id long, doc_token long, n_tokens long, n_equal long"
@@ -241,7 +251,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS) -
                 item = batch.column("item_tokens")[k].values.to_numpy()
                 at = shift - start  # place of the item's first token in the region
                 lo, hi = max(0, -at), min(len(item), len(doc) - at)
-                begin, end, equal = best_stretch(doc[at + lo : at + hi] == item[lo:hi])
+                same = doc[at + lo : at + hi] == item[lo:hi]
+                begin, end, equal = best_stretch(same)
+                if end - begin < min(least, len(item)):
+                    begin, end, equal = longest_stretch(same)
                 if end - begin >= min(least, len(item)):
                     for name, v in zip(out, (doc_id, tie, item_id, shift + lo + begin, end - begin, equal), strict=True):
                         out[name].append(v)

@@ -64,3 +64,35 @@ def test_best_stretch():
     assert decontaminate.best_stretch(eq) == (5, 10, 5)
     assert decontaminate.best_stretch(np.array([c == "=" for c in "====.=======.="])) == (0, 12, 11)
     assert decontaminate.best_stretch(np.array([], bool)) == (0, 0, 0)
+
+
+def test_longest_stretch_against_brute_force():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(500):
+        eq = np.array([rng.random() < 0.75 for _ in range(rng.randint(0, 30))], bool)
+        spans = [(b - a, -a) for a in range(len(eq)) for b in range(a + 1, len(eq) + 1) if 5 * eq[a:b].sum() >= 4 * (b - a)]
+        n, first = max(spans, default=(0, 0))
+        assert decontaminate.longest_stretch(eq) == (-first, n - first, eq[-first : n - first].sum())
+
+
+def test_substitutions_at_random_places(spark):
+    rng = random.Random(6)
+    items, docs, want = [], [], set()
+    for k in range(300):
+        n = rng.randint(8, 22)
+        item = [f"i{k}x{j}" for j in range(n)]
+        gone = set(rng.sample(range(n), rng.randint(1, max(1, n // 5))))
+        same = [j not in gone for j in range(n)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(["before", *[w if same[j] else f"s{j}" for j, w in enumerate(item)], "after"])))
+        seed = any(all(same[at + o] for o in m) for m in decontaminate.MASKS for at in range(n - m[-1]))
+        long = any(5 * sum(same[a:b]) >= 4 * (b - a) for a in range(n) for b in range(a + min(12, n), n + 1))
+        if seed and long:
+            want.add((k, k))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = decontaminate.contaminated(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(5 * r.n_equal >= 4 * r.n_tokens for r in got)
