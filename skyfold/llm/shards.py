@@ -2,8 +2,8 @@
 
 Rows are ordered by a hash of their text, so equal texts lie together. A sample drawn with a probability in proportion to
 a row's size gives quantile boundaries (the splitters), which cut the order into many more ranges than shards. The bytes of each range
-are then counted exactly over all rows; a range above twice its share (one hot text, say) is subdivided by a hash of
-the id. Whole ranges go to shards in order, so that the shards' bytes are nearly equal (law ``bytes``) and only texts
+are then counted exactly over all rows; a range above twice its share is subdivided by a hash of the text, and a text that is itself above
+twice the share by a hash of the id. Whole ranges go to shards in order, so that the shards' bytes are nearly equal (law ``bytes``) and only texts
 above such a share are spread over shards.
 
 Defined cases: a null text has no bytes (size 1) and the crc of the empty text; null ids order first; identical rows stay
@@ -66,7 +66,7 @@ def _search(key: Column, bounds: list[int]) -> Column:
 def shard(rows: DataFrame, shards: int = 16, ranges_per_shard: int = 64, sample: int = 20_000) -> DataFrame:
     """Adds ``shard`` and ``slot`` to rows of ``keyed``.
 
-    What reaches the driver is bounded by parameters: the total, the boundaries and a count per range. ``sample`` bounds the
+    What reaches the driver is bounded by parameters: the total, the boundaries and a count per overfull range and hot text. ``sample`` bounds the
     keys that boundaries are taken from; sizes are always counted over all rows.
     """
     ranges = shards * ranges_per_shard
@@ -75,10 +75,28 @@ def shard(rows: DataFrame, shards: int = 16, ranges_per_shard: int = 64, sample:
     ranged = stored(ranged, "ranges")
     share = max(1.0, total / ranges)
     by_range = ranged.groupBy("range").agg(F.sum("size").alias("n")).filter(F.col("n") > 2 * share).collect()
+    rest = {r["range"]: r["n"] for r in by_range}
+    hot = []
+    if rest:
+        by_key = ranged.filter(F.col("range").isin(list(rest))).groupBy("range", "key").agg(F.sum("size").alias("n"))
+        hot = sorted(by_key.filter(F.col("n") > 2 * share).collect(), key=lambda r: r["key"])  # at most half as many as there are ranges
+    for r in hot:
+        rest[r["range"]] -= r["n"]
     pieces = [1] * (ranges + 1)
-    for r in by_range:
-        pieces[r["range"]] = int(-(-r["n"] // share))
-    piece = F.pmod(F.xxhash64("doc_id", "key"), F.get(F.lit(pieces), F.col("range")).cast("long"))
+    for at, n in rest.items():
+        pieces[at] = max(1, int(-(-n // share)))
+    # Texts stay whole, but for hot ones: their rows are dealt by id to pieces of their own, behind the others of their range.
+    piece = F.pmod(F.xxhash64("key"), F.get(F.lit(pieces), F.col("range")).cast("long"))
+    if hot:
+        behind, first, own = dict(enumerate(pieces)), [], []
+        for r in hot:
+            first.append(behind[r["range"]])
+            own.append(int(-(-r["n"] // share)))
+            behind[r["range"]] += own[-1]
+        keys = [r["key"] for r in hot]
+        at = _search(F.col("key"), keys) - 1
+        dealt = F.get(F.lit(first), at) + F.pmod(F.xxhash64("doc_id", "key"), F.get(F.lit(own), at).cast("long"))
+        piece = F.when(F.get(F.lit(keys), at) == F.col("key"), dealt).otherwise(piece)
     cut = ranged.withColumn("piece", piece.cast("int"))
 
     # One row per piece: at most three times as many as there are ranges.

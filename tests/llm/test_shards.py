@@ -44,6 +44,19 @@ def test_a_hot_text_is_spread(spark):
     assert all(abs(s - mean) < 0.1 * mean for s in sizes.values())
 
 
+def test_groups_beside_a_hot_text_stay_together(spark):
+    df = spark.createDataFrame([(i, "hot text" if i % 3 == 0 else f"text {i // 15} {i % 3}") for i in range(60_000)], "doc_id long, text string")
+    rows = shards.shard_documents(df).collect()
+    check(rows, [(r.doc_id, r.text) for r in df.collect()])
+    sizes, where = defaultdict(int), defaultdict(set)
+    for r in rows:
+        sizes[r.shard] += r.size
+        where[r.text_crc32, r.size].add(r.shard)
+    mean = sum(sizes.values()) / 16
+    assert len(sizes) == 16 and all(abs(s - mean) < 0.1 * mean for s in sizes.values())
+    assert [k for k, x in where.items() if len(x) > 1] == [(zlib.crc32(b"hot text"), 9)]
+
+
 def test_odd_rows(spark, odd, none):
     check(shards.shard_documents(odd).collect(), [(r[0], r[1]) for r in odd_rows()])
     assert shards.shard_documents(none).count() == 0
