@@ -17,7 +17,7 @@ from skyfold.session import scratch_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language, or in none for half of their words, go."""
+    """Texts without letters, or whose words' best labels are unsure, go; a text may be in several languages."""
     return langid.in_known_language(docs)
 
 

@@ -214,7 +214,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
 
 
 def label(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``tie`` (hash of the text), ``lang_pred`` and ``score``."""
+    """Per row of ``docs``: ``doc_id``, ``tie`` (hash of the text), ``lang_pred``, ``score`` and ``certainty``."""
     ship(docs.sparkSession)
 
     def blocks(batches):
@@ -232,26 +232,27 @@ def label(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def read(batches):
         for block in blocks(batches):
-            lang, score = label_texts([t for _, _, t in block], model)
+            lang, score, certainty = label_texts([t for _, _, t in block], model)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array([b[0] for b in block], pa.int64()),
                     "tie": pa.array([b[1] for b in block], pa.int64()),
                     "lang_pred": pa.array(lang, pa.string()),
                     "score": pa.array(score, pa.float64()),
+                    "certainty": pa.array(certainty, pa.float64()),
                 }
             )
 
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(read, "doc_id long, tie long, lang_pred string, score double")
+    return rows.mapInArrow(read, "doc_id long, tie long, lang_pred string, score double, certainty double")
 
 
-def label_texts(texts: list[str], model: Model | None) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
-    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+def label_texts(texts: list[str], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and certainty (mean of the words' largest marginals) of each text; without a model letters are certain."""
+    lang, score, certainty = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     if model is None:
-        return lang, score
+        return lang, score, np.array([float(_LETTER.search(t) is not None) for t in texts])
     number: dict[str, int] = {}
     ids = []
     for t in texts:
@@ -270,17 +271,18 @@ def label_texts(texts: list[str], model: Model | None) -> tuple[list[str], np.nd
             starts.append(lo)
             lengths.append(min(CHAIN_WORDS, e - lo))
     if not starts:
-        return lang, score
+        return lang, score, certainty
     mean = forward_backward(emit[flat], np.array(starts), np.array(lengths), model.moves, model.start)
     mean *= lettered[flat][:, None]
     full = np.flatnonzero(sizes)
     sums = np.add.reduceat(mean, (ends - sizes)[full], axis=0)
+    sure = np.add.reduceat(mean.max(axis=1), (ends - sizes)[full])
     counts = np.add.reduceat(lettered[flat].astype(np.int64), (ends - sizes)[full])
-    for i, s, c in zip(full.tolist(), sums, counts.tolist(), strict=True):
+    for i, s, m, c in zip(full.tolist(), sums, sure.tolist(), counts.tolist(), strict=True):
         if c:
             k = int(np.argmax(s))
-            lang[i], score[i] = model.labels[k], min(1.0, float(s[k]) / c)
-    return lang, score
+            lang[i], score[i], certainty[i] = model.labels[k], min(1.0, float(s[k]) / c), min(1.0, m / c)
+    return lang, score, certainty
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -289,10 +291,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text is in one learned language for at least ``least`` of its words' probability."""
+    """The rows of ``docs`` whose text has letters and whose words' own best labels have a mean probability of at least ``least``.
+
+    A text may be in several languages; if nothing can be learned, all texts with letters stay.
+    """
     found = label(docs, train(docs))
     # The rejected are the few: they are named by id and text, so every other row stays as it is.
-    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    bad = found.filter(F.col("certainty") < least)
     bad = stored(bad.select(F.col("doc_id").alias("_bad_id"), F.col("tie").alias("_bad_tie")).distinct(), "rejected")
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("_tie"))
     same = row["_id"].eqNullSafe(bad["_bad_id"]) & (row["_tie"] == bad["_bad_tie"])

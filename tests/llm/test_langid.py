@@ -60,3 +60,16 @@ def test_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = langid.in_known_language(odd)
     assert kept.columns == odd.columns and kept.filter("text IS NULL OR text = ''").count() == 0
+
+
+def test_texts_in_three_languages_stay(spark):
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    long = [r for r in docs.filter("length(text) > 800 AND lang IS NOT NULL").orderBy("doc_id").collect()]
+    parts = [next(r.text for r in long if r.lang == k).split()[:40] for k in ("de", "en", "es")]
+    mixed = [(10**9, " ".join(w for p in parts for w in p), None), (10**9 + 1, "12 34 ...", None)]
+    df = docs.union(spark.createDataFrame(mixed, docs.schema))
+    score = {r.doc_id: r.score for r in langid.label(df, langid.train(df)).filter("doc_id >= 1000000000").collect()}
+    assert score[10**9] < 0.5
+    assert [r.doc_id for r in langid.in_known_language(df).filter("doc_id >= 1000000000").collect()] == [10**9]
+    plain = spark.createDataFrame([*mixed, (1, None, None), (2, "", None)], docs.schema)
+    assert [r.doc_id for r in langid.in_known_language(plain).collect()] == [10**9]
