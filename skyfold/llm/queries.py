@@ -24,14 +24,17 @@ def query(name: str, sql: str | None = None):
 
 from skyfold.llm.ctw import score  # noqa: E402
 from skyfold.llm.decontaminate import contaminated  # noqa: E402
+from skyfold.llm.divergence import AUDIT_SQL, audit  # noqa: E402
 from skyfold.llm.jaccard import jaccard_groups  # noqa: E402
 from skyfold.llm.langid import identify  # noqa: E402
 from skyfold.llm.mixing import MIX_SQL, mix_report  # noqa: E402
 from skyfold.llm.quality import JUDGE_SQL, judge  # noqa: E402
+from skyfold.llm.resampling import RESAMPLE_SQL, report  # noqa: E402
 from skyfold.llm.secrets import find_secrets  # noqa: E402
 from skyfold.llm.shards import shard_documents  # noqa: E402
 from skyfold.llm.templates import LINES_SQL, line_report  # noqa: E402
 from skyfold.llm.tokens import encode_and_read  # noqa: E402
+from skyfold.llm.toxicity import toxic_report  # noqa: E402
 
 
 def vocabulary() -> str:
@@ -98,3 +101,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     return shard_documents(documents(spark, sf_dir))
+
+
+@query("op11_source_divergence", AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and each source's terms above its language's use."""
+    return audit(documents(spark, sf_dir))
+
+
+@query("op12_importance_resampling", RESAMPLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and draw of every document towards the benchmark's texts."""
+    return report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the clause grammar."""
+    return toxic_report(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
