@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -17,12 +18,13 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyfold.functions.labels import signed_log
 from skyfold.operators.features import flags_to_double
 from skyfold.operators.ordered import cumulative_share
-from skyfold.operators.splits import downsample
+from skyfold.operators.splits import keep_balanced
 
 
 @dataclass(frozen=True)
@@ -77,37 +79,172 @@ def assemble(inputs: Sequence[str], output: str) -> VectorAssembler:
     return VectorAssembler(inputCols=list(inputs), outputCol=output, handleInvalid="keep")
 
 
-def final_vectors(cfg: FeatureConfig, logs: SkewLog) -> list[Any]:
-    """Stages up to the three final vectors.
+@dataclass(frozen=True)
+class FeatureStats:
+    """What the features of one training set are built from: class counts, moments and category counts."""
+
+    positives: int = 0
+    negatives: int = 0
+    skewness: Mapping[str, float | None] = field(default_factory=dict)
+    mean: Mapping[str, float | None] = field(default_factory=dict)
+    std: Mapping[str, float | None] = field(default_factory=dict)
+    categories: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
+
+    def logs(self, cfg: FeatureConfig) -> SkewLog:
+        """The candidates skewed beyond the threshold; a constant or empty column has no skewness and stays out."""
+        chosen = tuple(c for c in cfg.log_candidates if self.skewness[c] is not None and abs(self.skewness[c]) > cfg.skew_threshold)
+        return SkewLog(cfg.log_candidates, cfg.skew_threshold, chosen)
+
+    def labels(self, col: str) -> list[str]:
+        """Categories by index: most frequent first, ties by name."""
+        counts = self.categories.get(col, {})
+        return sorted(counts, key=lambda v: (-counts[v], v))
+
+
+def _measured(cfg: FeatureConfig) -> dict[str, Column]:
+    """Every number whose moments a feature table may need: numerics, candidates, and the candidates' logs."""
+    plain = dict.fromkeys([*cfg.numeric, *cfg.log_candidates])
+    return {c: F.col(c).cast("double") for c in plain} | {f"{c}_log": signed_log(F.col(c).cast("double")) for c in cfg.log_candidates}
+
+
+def feature_statistics(train: DataFrame, cfg: FeatureConfig, by: Sequence[str] = ()) -> DataFrame:
+    """Sufficient statistics of every group of ``by`` in one aggregate over one scan.
+
+    A row becomes one record with all its numbers (``column`` is null) and one record per category column, so numbers and categories
+    share the aggregate: map-side partial counts and central moments, one row per group and category after the shuffle. Moments are
+    over known values. Columns: ``by``, ``column``, ``value``, ``n``, ``positives``, ``negatives``, and ``mean_*``, ``std_*`` and ``skew_*``.
+    """
+    numbers = _measured(cfg)
+    kind = "struct<" + ", ".join(f"`{c}`: double" for c in numbers) + ">"
+    text, none = F.lit(None).cast("string"), F.lit(None).cast(kind)
+    records = [F.struct(text.alias("column"), text.alias("value"), F.struct(*[v.alias(c) for c, v in numbers.items()]).alias("x"))]
+    records += [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), none.alias("x")) for c in cfg.categorical]
+    long = train.select(*by, F.col(cfg.label).alias("_y"), F.explode(F.array(*records)).alias("_r"))
+    moments = [f(F.col(f"_r.x.`{c}`")).alias(f"{name}_{c}") for c in numbers for name, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    moments += [F.skewness(F.col(f"_r.x.`{c}`")).alias(f"skew_{c}") for c in cfg.log_candidates]
+    return long.groupBy(*by, F.col("_r.column").alias("column"), F.col("_r.value").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_y") == 1).alias("positives"), F.count_if(F.col("_y") == 0).alias("negatives"), *moments
+    )
+
+
+def read_statistics(stats: DataFrame, cfg: FeatureConfig, by: Sequence[str] = ()) -> dict[tuple, FeatureStats]:
+    """The statistics by group; a row per group and category reaches the driver, as it does for any index of categories."""
+    whole, counts = {}, defaultdict(lambda: defaultdict(dict))
+    for r in stats.collect():
+        group = tuple(r[c] for c in by)
+        if r["column"] is None:
+            whole[group] = r
+        elif r["value"] is not None:
+            counts[group][r["column"]][r["value"]] = r["n"]
+    numbers = list(_measured(cfg))
+    return {
+        g: FeatureStats(
+            r["positives"], r["negatives"], {c: r[f"skew_{c}"] for c in cfg.log_candidates}, {c: r[f"mean_{c}"] for c in numbers},
+            {c: r[f"std_{c}"] for c in numbers}, {c: dict(v) for c, v in counts[g].items()},
+        )
+        for g, r in whole.items()
+    }
+
+
+def statistics_report(stats: DataFrame, cfg: FeatureConfig, by: Sequence[str] = ()) -> DataFrame:
+    """Statistics as a long table: ``by``, ``column``, ``value``, ``n``, ``mean``, ``std``, ``skew`` and index ``idx`` of a category."""
+    numbers, none = list(_measured(cfg)), F.lit(None).cast("double")
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.col(f"mean_{c}").alias("mean"), F.col(f"std_{c}").alias("std"), (F.col(f"skew_{c}") if c in cfg.log_candidates else none).alias("skew"))
+        for c in numbers
+    ]
+    whole = stats.filter(F.col("column").isNull()).select(*by, "n", F.explode(F.array(*rows)).alias("_r"))
+    whole = whole.select(*by, "_r.column", F.lit(None).cast("string").alias("value"), "n", "_r.mean", "_r.std", "_r.skew", F.lit(None).cast("int").alias("idx"))
+    place = Window.partitionBy(*by, "column").orderBy(F.desc("n"), "value")  # one row per group and category
+    index = (F.row_number().over(place) - 1).alias("idx")
+    known = stats.filter(F.col("column").isNotNull() & F.col("value").isNotNull())
+    return whole.unionByName(known.select(*by, "column", "value", "n", none.alias("mean"), none.alias("std"), none.alias("skew"), index))
+
+
+def _scale_stage(cols: Sequence[str], stats: FeatureStats) -> Transformer:
+    """Each number less its mean in units of its deviation as ``<col>_scaled``; a constant becomes 0."""
+
+    def scaled(c: str) -> str:
+        mean, std = stats.mean[c], stats.std[c]
+        if mean is None or std is None:
+            return f"CAST(NULL AS DOUBLE) AS `{c}_scaled`"
+        return f"(CAST(`{c}` AS DOUBLE) - {mean!r}D) * {(1 / std if std else 0.0)!r}D AS `{c}_scaled`"
+
+    return SQLTransformer(statement="SELECT *, " + ", ".join(map(scaled, cols)) + " FROM __THIS__")
+
+
+def build_features(cfg: FeatureConfig, stats: FeatureStats, like: DataFrame) -> PipelineModel:
+    """The fitted pipeline up to the three final vectors, built from statistics without reading rows.
 
     ``log_scaled_features`` and ``log_unscaled_features`` hold the numerics with skewed ones replaced by
     their logs, standardised or as they are; ``full_unscaled_features`` holds all numerics unlogged. Each
-    is followed by the one-hot block and the flags.
+    is followed by the one-hot block and the flags. ``like`` names the session and the types of the columns.
     """
+    logs = stats.logs(cfg)
     numeric = sorted([c for c in cfg.numeric if c not in logs.chosen] + [c for c in logs.log_columns if c[:-4] in cfg.numeric])
-    stages: list[Any] = [logs.stage()]
+    stages: list[Any] = [logs.stage(), _scale_stage(numeric, stats)]
     tail: list[str] = list(cfg.flags)
     if cfg.categorical:
-        stages += [
-            index_stage(cfg.categorical),
-            one_hot_stage(cfg.categorical),
-            assemble([f"{c}_ohe" for c in cfg.categorical], "ohe_vector"),
-        ]
+        cols = list(cfg.categorical)
+        # One model per column: the constructor pads shorter lists of labels with nulls.
+        index = PipelineModel([StringIndexerModel.from_arrays_of_labels([stats.labels(c)], [c], [f"{c}_idx"], handleInvalid="keep") for c in cols])
+        # The encoder takes its sizes from the index columns' metadata: no row is needed.
+        empty = like.sparkSession.createDataFrame([], like.select(*cols).schema)
+        stages += [*index.stages, one_hot_stage(cols).fit(index.transform(empty)), assemble([f"{c}_ohe" for c in cols], "ohe_vector")]
         tail = ["ohe_vector", *tail]
-    return stages + [
-        assemble(numeric, "num_vector"),
-        StandardScaler(inputCol="num_vector", outputCol="scaled_num_vector", withMean=True, withStd=True),
-        assemble(["scaled_num_vector", *tail], "log_scaled_features"),
-        assemble(["num_vector", *tail], "log_unscaled_features"),
-        assemble([*sorted(cfg.numeric), *tail], "full_unscaled_features"),
-    ]
+    return PipelineModel(
+        stages
+        + [
+            assemble(numeric, "num_vector"),
+            assemble([f"{c}_scaled" for c in numeric], "scaled_num_vector"),
+            assemble(["scaled_num_vector", *tail], "log_scaled_features"),
+            assemble(["num_vector", *tail], "log_unscaled_features"),
+            assemble([*sorted(cfg.numeric), *tail], "full_unscaled_features"),
+        ]
+    )
+
+
+def apply_features(cfg: FeatureConfig, model: PipelineModel, df: DataFrame) -> DataFrame:
+    return model.transform(flags_to_double(df, cfg.flags))
 
 
 def fit_features(cfg: FeatureConfig, train: DataFrame) -> PipelineModel:
-    """Everything learnt from training rows only: skewness, categories, means and deviations."""
-    train = flags_to_double(train, cfg.flags)
-    logs = SkewLog(cfg.log_candidates, cfg.skew_threshold).fit(train) if cfg.log_candidates else SkewLog(())
-    return Pipeline(stages=final_vectors(cfg, logs)).fit(train)
+    """Everything learnt from training rows only, in one pass: skewness, categories, means and deviations."""
+    return build_features(cfg, read_statistics(feature_statistics(train, cfg), cfg).get((), _no_rows(cfg)), train)
+
+
+def _no_rows(cfg: FeatureConfig) -> FeatureStats:
+    unknown = dict.fromkeys(_measured(cfg))
+    return FeatureStats(0, 0, unknown, unknown, unknown)
+
+
+def fit_apply_groups(
+    cfg: FeatureConfig,
+    table: DataFrame,
+    by: Sequence[str],
+    groups: Sequence[tuple],
+    role: str,
+    balance_key: str | Sequence[str] | None = None,
+    train: str = "train",
+) -> dict[tuple, tuple[PipelineModel, FeatureStats, DataFrame, DataFrame]]:
+    """Features of many training sets of one table: model, statistics, training rows and other rows of each group.
+
+    ``role`` tells training rows from others. All statistics come from one aggregate over one scan of the training rows; the class counts
+    among them balance the training rows *after* the fit, by a filter, if a key is given.
+    """
+    learnt = read_statistics(feature_statistics(table.filter(F.col(role) == train), cfg, by), cfg, by)
+    out = {}
+    for group in groups:
+        rows = table
+        for c, v in zip(by, group, strict=True):
+            rows = rows.filter(F.col(c) == v)
+        stats = learnt.get(tuple(group), _no_rows(cfg))
+        model = build_features(cfg, stats, table)
+        fitted = apply_features(cfg, model, rows.filter(F.col(role) == train))
+        if balance_key is not None:
+            fitted = keep_balanced(fitted, cfg.label, balance_key, stats.positives, stats.negatives)
+        out[tuple(group)] = (model, stats, fitted, apply_features(cfg, model, rows.filter(F.col(role) != train)))
+    return out
 
 
 def fit_apply(
@@ -116,13 +253,13 @@ def fit_apply(
     others: Mapping[str, DataFrame],
     balance_key: str | Sequence[str] | None = None,
 ) -> tuple[PipelineModel, DataFrame, dict[str, DataFrame]]:
-    """Fit on train, transform train and the other tables; balance train *after* fitting if a key is given."""
-    model = fit_features(cfg, train)
-    done = {n: model.transform(flags_to_double(df, cfg.flags)) for n, df in others.items()}
-    out = model.transform(flags_to_double(train, cfg.flags))
+    """Fit on train in one pass, transform train and the other tables; balance train *after* fitting if a key is given."""
+    stats = read_statistics(feature_statistics(train, cfg), cfg).get((), _no_rows(cfg))
+    model = build_features(cfg, stats, train)
+    out = apply_features(cfg, model, train)
     if balance_key is not None:
-        out = downsample(out, cfg.label, balance_key)
-    return model, out, done
+        out = keep_balanced(out, cfg.label, balance_key, stats.positives, stats.negatives)
+    return model, out, {n: apply_features(cfg, model, df) for n, df in others.items()}
 
 
 def per_column_pipeline(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:

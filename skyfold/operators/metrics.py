@@ -64,8 +64,8 @@ def pr_curve(preds: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def ranking_metrics(preds: DataFrame, score: str, label: str) -> DataFrame:
-    """Areas under the curves, exact over every distinct score.
+def ranking_metrics(preds: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Areas under the curves, exact over every distinct score, per group with ``by``.
 
     ``pr_auc`` joins the points of the precision-recall curve by straight lines, starting at recall 0
     with the first precision; ``average_precision`` adds up steps; ``roc_auc`` is the rank statistic
@@ -77,12 +77,12 @@ def ranking_metrics(preds: DataFrame, score: str, label: str) -> DataFrame:
     known = preds.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     sums = {"tp": F.when(y, one).otherwise(zero), "fp": F.when(y, zero).otherwise(one)}
-    pts = totals_by_value(known.select(score, label), score, sums, descending=True, own=True)
+    pts = totals_by_value(known.select(*by, score, label), score, sums, descending=True, own=True, by=by)
     tp, fp, dp, dn = F.col("tp"), F.col("fp"), F.col("own_tp"), F.col("own_fp")
     before_n = tp + fp - dp - dn
     precision = tp / (tp + fp)
     before = F.when(before_n > 0, (tp - dp) / before_n).otherwise(precision)
-    totals = pts.agg(
+    totals = pts.groupBy(*by).agg(
         F.sum(dp).alias("positives"),
         F.sum(dn).alias("negatives"),
         F.sum(dp * (precision + before) / 2).alias("_trapezoid"),
@@ -91,6 +91,7 @@ def ranking_metrics(preds: DataFrame, score: str, label: str) -> DataFrame:
     )
     p, q = F.nullif(F.col("positives"), F.lit(0)), F.nullif(F.col("negatives"), F.lit(0))
     return totals.select(
+        *by,
         "positives",
         "negatives",
         (F.col("_trapezoid") / p).alias("pr_auc"),
@@ -106,6 +107,19 @@ EVAL_SCHEMA = (
 )
 
 
+def tagged_eval(preds: DataFrame, label: str, by: Sequence[str], digits: int | None = 4) -> DataFrame:
+    """``cv_eval`` of many sets of predictions at once, told apart by ``by``: one aggregate for the cells of all, one ordering for all curves.
+
+    ``preds`` has ``by``, the label, ``prediction`` and ``score`` and should be stored, as both read it.
+    """
+    known = preds.filter(F.col(label).isNotNull())
+    ranks = ranking_metrics(known, "score", label, by).drop("positives", "negatives")
+    found = confusion(known, label, by=by).join(ranks, list(by))
+    fields = T.StructType.fromDDL(EVAL_SCHEMA).fields
+    exact = {f.name for f in fields if f.dataType == T.LongType()} if digits is not None else {f.name for f in fields}
+    return found.select(*by, *[F.col(f.name) if f.name in exact else F.round(f.name, digits).alias(f.name) for f in fields])
+
+
 def cv_eval(preds: DataFrame, label: str, digits: int | None = 4) -> dict[str, float | int]:
     """F2, PR-AUC, precision, recall, confusion counts and more of one set of predictions.
 
@@ -135,13 +149,15 @@ def evaluate(preds: DataFrame, label: str, metrics: Sequence[str]) -> dict[str,
     binary = {"pr_auc": "areaUnderPR", "roc_auc": "areaUnderROC"}
     kept = preds.select(*[c for c in (label, "prediction", "probability", "rawPrediction") if c in preds.columns]).persist()
     found = {}
-    for m in metrics:
-        if m in binary:
-            evaluator = BinaryClassificationEvaluator(labelCol=label, metricName=binary[m])
-        else:
-            evaluator = MulticlassClassificationEvaluator(labelCol=label, **multi[m])
-        found[m] = evaluator.evaluate(kept)
-    kept.unpersist()
+    try:
+        for m in metrics:
+            if m in binary:
+                evaluator = BinaryClassificationEvaluator(labelCol=label, metricName=binary[m])
+            else:
+                evaluator = MulticlassClassificationEvaluator(labelCol=label, **multi[m])
+            found[m] = evaluator.evaluate(kept)
+    finally:
+        kept.unpersist()
     return found
 
 

@@ -80,18 +80,29 @@ def running_totals(
 
 
 def totals_by_value(
-    df: DataFrame, value: str, sums: Mapping[str, Column], descending: bool = False, own: bool = False, rows_per_segment: int = ROWS_PER_SEGMENT
+    df: DataFrame, value: str, sums: Mapping[str, Column], descending: bool = False, own: bool = False, rows_per_segment: int = ROWS_PER_SEGMENT,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Distinct values with the sums over all rows up to and including each value.
+    """Distinct values with the sums over all rows up to and including each value, per group with ``by``.
 
     Equal values are folded together before they are ordered, so a value shared by a third of all rows
-    is one row afterwards. With ``own`` the sums of each value alone stay as ``own_<name>``.
+    is one row afterwards. With ``own`` the sums of each value alone stay as ``own_<name>``. All groups are ordered together, one after the other, so
+    a large group is cut like any other range; what the groups before hold is taken off by a table of one row per group.
     """
-    folded = df.filter(F.col(value).isNotNull()).groupBy(value).agg(*[F.sum(c).alias(o) for o, c in sums.items()])
+    folded = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).alias(o) for o, c in sums.items()])
     if own:
         folded = folded.withColumns({f"own_{o}": F.col(o) for o in sums})
-    order_by = [F.desc(value) if descending else F.asc(value)]
-    return _summed(segmented(folded, order_by, rows_per_segment), list(sums), order_by)
+    order_by = [*map(F.asc, by), F.desc(value) if descending else F.asc(value)]
+    cut = segmented(folded, order_by, rows_per_segment)
+    out = _summed(cut, list(sums), order_by)
+    if not by:
+        return out
+    earlier = W.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)  # one row per group
+    groups = cut.groupBy(*by).agg(*[F.sum(o).alias(f"_g_{o}") for o in sums])
+    groups = groups.select(*[F.col(b).alias(f"_by_{b}") for b in by], *[F.coalesce(F.sum(f"_g_{o}").over(earlier), F.lit(0)).alias(f"_b_{o}") for o in sums])
+    same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]
+    out = out.join(groups, same).withColumns({o: F.col(o) - F.col(f"_b_{o}") for o in sums})
+    return out.drop(*[f"_by_{b}" for b in by], *[f"_b_{o}" for o in sums])
 
 
 def global_rank(df: DataFrame, order: str, tie: str, alias: str = "row_num", descending: bool = False, rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:

@@ -136,8 +136,13 @@ def downsample(df: DataFrame, label: str, key: str | Sequence[str], target_ratio
     One aggregate finds the share to keep; then a single filter does the work, with no split, no union
     and no shuffle. Unchanged when the negatives are not in the majority at that ratio.
     """
-    keys = [key] if isinstance(key, str) else list(key)
     pos, neg = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    return keep_balanced(df, label, key, pos, neg, target_ratio)
+
+
+def keep_balanced(df: DataFrame, label: str, key: str | Sequence[str], pos: int, neg: int, target_ratio: float = 1.0) -> DataFrame:
+    """``downsample`` for rows whose class counts are known already."""
+    keys = [key] if isinstance(key, str) else list(key)
     if neg == 0 or pos / neg / target_ratio >= 1.0:
         return df
     keep = pos / neg / target_ratio

@@ -28,5 +28,5 @@ def test_contract(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
     assert entry.entry(spark).count() > 0
-    for name in ("enriched_flights", "hashed_ids"):
+    for name in ("enriched_flights",):
         assert name not in sql and queries[name](spark, SF).count() > 0
