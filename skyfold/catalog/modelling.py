@@ -18,7 +18,7 @@ from skyfold.operators import models as ML
 from skyfold.operators import splits as SP
 from skyfold.operators.features import flags_to_double
 from skyfold.operators.reports import mean_metrics as mean_by_params
-from skyfold.session import scratch_path
+from skyfold.session import scratch_path, stored
 from skyfold.sources import tables as S
 
 # ---------------------------------------------------------------- feature stages
@@ -181,13 +181,18 @@ def vector_slot_names(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(slots, "idx int, name string")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS part, CAST(1 AS INTEGER) AS set_slots FROM lineitem")
+@query(
+    """SELECT CAST(l_partkey AS VARCHAR) AS part, count(*) AS n_rows, CAST(1 AS BIGINT) AS slots, CAST(1 AS INTEGER) AS set_slots,
+      (SELECT count(DISTINCT l_partkey) > 50 FROM lineitem) AS spread FROM lineitem GROUP BY 1"""
+)
 def hashed_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Hashed vectors of a high-cardinality id, with the number of set slots."""
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("part"))
-    hashed = X.hash_stage(["part"], "hashed").transform(df)
-    set_slots = F.size(F.filter(vector_to_array("hashed"), lambda x: x != 0))
-    return hashed.select("l_orderkey", "l_linenumber", "part", set_slots.alias("set_slots"))
+    """Hashed vectors of a high-cardinality id: one slot is set, equal ids share it, and many slots are in use."""
+    df = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("part"))
+    hashed = X.hash_stage(["part"], "hashed").transform(df).withColumn("_v", vector_to_array("hashed"))
+    slots = hashed.select("part", F.size(F.filter("_v", lambda x: x != 0)).alias("_n"), F.array_position("_v", 1.0).alias("_slot"))
+    per_id = stored(slots.groupBy("part").agg(F.count("*").alias("n_rows"), F.count_distinct("_slot").alias("slots"), F.max("_n").alias("set_slots"), F.min("_slot").alias("_s")), "slots")
+    spread = per_id.agg(F.count_distinct("_s") > 50).scalar()
+    return per_id.select("part", "n_rows", "slots", "set_slots", spread.alias("spread"))
 
 
 @query(
@@ -332,7 +337,9 @@ def metrics_table(spark: SparkSession, sf: str) -> DataFrame:
     """Run records appended to a metrics table and read back."""
     path = scratch_path(spark, "metrics")
     folds = rounded(M.confusion(_preds(spark, sf), "label", by=["fold"]), "f2", "recall")
-    folds.select("fold", "f2", "recall").write.mode("append").parquet(path)
+    rows = [r.asDict() for r in folds.select("fold", "f2", "recall").orderBy("fold").collect()]  # a row per run
+    for run in (rows[:1], rows[1:]):
+        S.append_metrics(spark, path, run, "fold bigint, f2 double, recall double")
     return S.read_parquet(spark, path)
 
 
