@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyfold.catalog.base import legs, query, table
@@ -48,6 +48,20 @@ def keyed_layout_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return S.read_parquet(spark, path)
 
 
+@query(
+    """SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth,
+      c_name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey"""
+)
+def bucketed_join_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders and customers written in buckets by customer, then joined and numbered without shuffling either."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    orders = S.write_bucketed(orders, scratch_path(spark, "orders"), ["o_custkey"], sort=["o_custkey", "o_orderkey"])
+    customers = S.write_bucketed(customers, scratch_path(spark, "customers"), ["c_custkey"])
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return orders.withColumn("nth", nth).join(customers, F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'")
 def split_partition_read(spark: SparkSession, sf: str) -> DataFrame:
     """Both sides of a hold-out in one partitioned table, one side read back by pruning."""

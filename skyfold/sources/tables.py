@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyfold.session import shuffle_width
+
 
 @dataclass(frozen=True)
 class DataSize:
@@ -75,6 +78,25 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str]) -
     df.hint("rebalance", *partition_cols).write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
 
 
+def write_bucketed(
+    df: DataFrame, path: str, keys: Sequence[str], buckets: int | None = None, sort: Sequence[str] = (), laid_out: bool = False
+) -> DataFrame:
+    """Bucketed sink, and the table as it reads from there: joins, aggregates and windows on ``keys`` take it without an exchange.
+
+    Buckets are as many as shuffle partitions unless stated, so that what is shuffled on the same keys meets the table bucket by bucket.
+    ``laid_out`` says that ``df`` is hash-partitioned so already. All rows of a key are in one bucket: for keys that hold a large part
+    of all rows use ``write_table``. The table is known to this session by its plan alone; its name is gone again.
+    """
+    spark, name = df.sparkSession, f"skyfold_{uuid.uuid4().hex}"
+    n = buckets or shuffle_width(spark)
+    rows = df if laid_out else df.repartition(n, *keys)
+    rows.write.bucketBy(n, *keys).sortBy(*(sort or keys)).option("path", path).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def write_splits(train: DataFrame, test: DataFrame, path: str) -> None:
     """Both sides of a hold-out in one table, partitioned by ``split``."""
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
