@@ -1,29 +1,74 @@
 """Operators that depend on row order, written so that no single task ever holds one hot group.
 
-The common device is a *segment*: a range of rows in the wanted order, cut by Spark's range partitioning on the order columns and
-the tie. Columns of any type can be cut, and nulls and NaN lie where the direction puts them. Segments hold a bounded
+The common device is a *segment*: a range of rows in the wanted order, cut at the quantiles of a sketch where the order is a number, else by Spark's range
+partitioning on the order columns and the tie. Columns of any type can be cut, and nulls and NaN lie where the direction puts them. Segments hold a bounded
 number of rows, are written once and then processed in parallel; what one segment needs from those before it (a last row, a
 running total) is a table of one row per segment.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skyfold.session import stored
+from skyfold.session import shuffle_width, stored
 
 #: Rows a segment holds on average; a group above that is cut.
 ROWS_PER_SEGMENT = 500_000
+#: Below that many rows a further segment costs more than it saves.
+LEAST_ROWS = 20_000
+#: Quantiles a sketch is asked for.
+SKETCH_STEPS = 200
 
 
 def segmented(df: DataFrame, order_by: Sequence[Column], rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
-    """``df`` with ``_seg``, a number that grows along ``order_by``; written, so that every reader sees the same cuts."""
-    n = max(1, -(-df.count() // rows_per_segment))
-    return stored(df.repartitionByRange(n, *order_by).withColumn("_seg", F.spark_partition_id()), "segments")
+    """``df`` with ``_seg``, a number that grows along ``order_by``; written, so that every reader sees the same cuts.
+
+    ``df`` itself is worked out once: it is written first, its rows are counted from what was written, and the range partitioning samples that.
+    """
+    kept = stored(df, "unordered")
+    rows = kept.count()
+    n = max(1, -(-rows // rows_per_segment), min(shuffle_width(df.sparkSession), rows // LEAST_ROWS))
+    return stored(kept.repartitionByRange(n, *order_by).withColumn("_seg", F.spark_partition_id()), "segments")
+
+
+def cut_by_sketch(df: DataFrame, order: str, descending: bool, rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame | None:
+    """``df`` with ``_seg`` from the cuts of a quantile sketch, written; None where a sketch cannot cut it into bounded segments.
+
+    One aggregate counts the rows and merges the tasks' sketches; after it a row's segment follows from its value alone, so nothing is
+    sampled or shuffled for the cut, and the counts that matter are exact. Orders that are not numbers, values that hold a segment or more, and tables of more
+    segments than the sketch has steps are left to range partitioning.
+    """
+    if not isinstance(df.schema[order].dataType, T.NumericType):
+        return None
+    x = F.col(order).cast("double")
+    steps = F.array(*[F.lit(i / SKETCH_STEPS) for i in range(1, SKETCH_STEPS)])
+    sketch = F.kll_sketch_agg_double(F.when(~F.isnan(x), x), 4 * SKETCH_STEPS)
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.isnan(x)).alias("known"), sketch.alias("s"))
+    rows, quantiles = seen.select("n", F.when(F.col("known") > 0, F.kll_sketch_get_quantile_double("s", steps))).first()
+    n = max(1, -(-rows // rows_per_segment), min(shuffle_width(df.sparkSession), rows // LEAST_ROWS))
+    cuts = sorted({quantiles[round(i * SKETCH_STEPS / n) - 1] for i in range(1, n)}) if quantiles else []
+    if n > SKETCH_STEPS // 2 or len(cuts) < n - 1:
+        return None
+    place = F.lit(0)
+    if cuts:
+        finder = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_x", outputCol="_bucket", handleInvalid="keep")
+        df = finder.transform(df.withColumn("_x", x))
+        place = F.col("_bucket").cast("int")
+    place = F.when(F.isnan(x), n).otherwise(place)
+    seg = F.when(x.isNull(), 1 if descending else -1).otherwise(-place if descending else place)
+    return stored(df.withColumn("_seg", seg).drop("_x", "_bucket"), "segments")
+
+
+def _cut(df: DataFrame, order: str, descending: bool, order_by: Sequence[Column], rows_per_segment: int) -> DataFrame:
+    found = cut_by_sketch(df, order, descending, rows_per_segment)
+    return segmented(df, order_by, rows_per_segment) if found is None else found
 
 
 def hot_keys(df: DataFrame, key: str, most: int) -> DataFrame:
@@ -76,7 +121,7 @@ def running_totals(
     Nulls and NaN stand where Spark's order puts them: nulls first going up and last going down, NaN above every number.
     """
     order_by = [F.desc(order) if descending else F.asc(order), F.asc(tie)]
-    return _summed(segmented(df.withColumns(dict(sums)), order_by, rows_per_segment), list(sums), order_by)
+    return _summed(_cut(df.withColumns(dict(sums)), order, descending, order_by, rows_per_segment), list(sums), order_by)
 
 
 def totals_by_value(
@@ -93,7 +138,7 @@ def totals_by_value(
     if own:
         folded = folded.withColumns({f"own_{o}": F.col(o) for o in sums})
     order_by = [*map(F.asc, by), F.desc(value) if descending else F.asc(value)]
-    cut = segmented(folded, order_by, rows_per_segment)
+    cut = segmented(folded, order_by, rows_per_segment) if by else _cut(folded, value, descending, order_by, rows_per_segment)
     out = _summed(cut, list(sums), order_by)
     if not by:
         return out

@@ -89,3 +89,20 @@ def test_top_n_per_group(spark):
     df = spark.createDataFrame([("a", i % 3, i) for i in range(9)] + [("b", 1, 0)], "g string, m int, id int")
     got = rows(O.top_n_per_group(df, "g", "m", 2, "id"))
     assert got == [("a", 2, 2, 1), ("a", 2, 5, 2), ("b", 1, 0, 1)]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_sketch_cuts_are_segments_of_the_order(spark, descending):
+    """Every segment lies wholly before the next; nulls and NaN stand where the direction puts them; hot values fall back."""
+    rnd = random.Random(4)
+    data = [(i, rnd.choice([None, float("nan"), rnd.uniform(-5, 5), rnd.uniform(-5, 5), rnd.uniform(-5, 5)])) for i in range(3000)]
+    df = spark.createDataFrame(data, "id long, x double").repartition(4)
+    cut = O.cut_by_sketch(df, "x", descending, 200)
+    order = [F.desc("x") if descending else F.asc("x"), "id"]
+    segs = [r["_seg"] for r in cut.orderBy(*order).collect()]
+    assert segs == sorted(segs) and len(set(segs)) >= 12 and cut.count() == 3000
+    want = [r["id"] for r in df.orderBy(*order).collect()]
+    ranked = O.global_rank(df, "x", "id", descending=descending, rows_per_segment=200)
+    assert [r["id"] for r in ranked.orderBy("row_num").collect()] == want
+    assert O.cut_by_sketch(df.withColumn("x", F.lit(1.0)), "x", descending, 200) is None
+    assert O.cut_by_sketch(df.selectExpr("id", "CAST(x AS STRING) AS x"), "x", descending, 200) is None
