@@ -135,6 +135,28 @@ def correlated_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(Q.correlations(df, _PAIR_COLS, threshold=0.85), "correlation")
 
 
+#: Sixty columns of the orders' lines: remainders of keys and quantities, every fifth with gaps.
+_WIDE = [f"x{i}" for i in range(60)]
+
+
+def _wide_sql(i: int) -> str:
+    base = ("l_partkey", "l_suppkey", "l_orderkey", "CAST(l_quantity AS BIGINT)")[i % 4]
+    value = f"CAST({base} % {7 + i} AS DOUBLE)"
+    return f"CASE WHEN l_linenumber <> {1 + i % 7} THEN {value} END" if i % 5 == 0 else value
+
+
+@query(
+    f"""WITH w AS (SELECT {", ".join(f"{_wide_sql(i)} AS x{i}" for i in range(60))} FROM lineitem),
+    c AS (SELECT {", ".join(f"corr(x{i}, x{j}) AS c{i}_{j}" for i in range(60) for j in range(i + 1, 60))} FROM w),
+    u AS (UNPIVOT c ON * INTO NAME pair VALUE correlation)
+    SELECT 'x' || split_part(substr(pair, 2), '_', 1) AS column_a, 'x' || split_part(pair, '_', 2) AS column_b, round(correlation, 6) AS correlation FROM u"""
+)
+def wide_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    """All 1,770 pairs of sixty columns with gaps, from one Gram matrix."""
+    df = table(spark, sf, "lineitem").select(*[F.expr(_wide_sql(i)).alias(f"x{i}") for i in range(60)])
+    return rounded(Q.correlations(df, _WIDE), "correlation")
+
+
 _FLAGS = ["CANCELLED", "DIVERTED", "ARR_DEL15"]
 
 

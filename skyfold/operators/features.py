@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyfold.functions.clock import epoch_seconds
 from skyfold.operators.ordered import ROWS_PER_SEGMENT, previous_event
-from skyfold.operators.quality import null_profile
+from skyfold.operators.quality import null_metrics, null_profile
 from skyfold.operators.reports import median
 
 
@@ -69,14 +70,22 @@ def fit_fill(
     medians: Sequence[str] = (),
     constants: Mapping[str, float] | None = None,
     accuracy: int | None = 100,
+    observed: Mapping[str, Any] | None = None,
 ) -> FillPolicy:
-    """Zeros, medians (read from ``df``) and constants by column; absent columns are skipped."""
+    """Zeros, medians (read from ``df``, or as ``observed`` while it was written) and constants by column; absent columns are skipped."""
+    known = observed or {}
     values: dict[str, float] = {c: 0 for c in zero if c in df.columns}
-    values |= {c: median(df, c, accuracy) for c in medians if c in df.columns}
+    values |= {c: known[f"median_{c}"] if f"median_{c}" in known else median(df, c, accuracy) for c in medians if c in df.columns}
     values |= {c: v for c, v in (constants or {}).items() if c in df.columns}
     return FillPolicy(values)
 
 
+def cleaning_metrics(df: DataFrame, medians: Sequence[str], accuracy: int | None = 100) -> dict[str, Column]:
+    """What ``clean_nulls`` must know of a table, as aggregates to observe while it is written; exact medians are not among them."""
+    middle = {c: F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy) for c in medians if c in df.columns and accuracy is not None}
+    return null_metrics(df) | {f"median_{c}": v for c, v in middle.items()}
+
+
 def clean_nulls(
     df: DataFrame,
     zero: Sequence[str],
@@ -84,14 +93,18 @@ def clean_nulls(
     constants: Mapping[str, float],
     expected: Sequence[str] = (),
     accuracy: int | None = 100,
+    observed: Mapping[str, Any] | None = None,
 ) -> tuple[DataFrame, list[str], DataFrame]:
     """Filled frame, columns still holding nulls, and a report of nulls per column before and after.
 
-    The report also says whether nulls were expected in the column; expected columns that the frame lacks are listed without counts. One pass counts the nulls; what a
-    fill leaves over follows from it.
+    The report also says whether nulls were expected in the column; expected columns that the frame lacks are listed without counts. One pass counts the nulls, or
+    none if ``observed`` has them from the job that wrote ``df`` (``cleaning_metrics``); what a fill leaves over follows from it.
     """
-    policy = fit_fill(df, zero, medians, constants, accuracy)
-    counts = [(r["column_name"], r["null_count"]) for r in null_profile(df).collect()]
+    policy = fit_fill(df, zero, medians, constants, accuracy, observed)
+    if observed is None:
+        counts = [(r["column_name"], r["null_count"]) for r in null_profile(df).collect()]
+    else:
+        counts = [(c, observed[f"nulls_{c}"]) for c in df.columns]
     covered, wanted = set(policy.covered(df)), set(expected)
     rows = [(c, n, 0 if c in covered else n, c in wanted) for c, n in counts]
     absent = [c for c in expected if c not in df.columns]  # expected, but not there: no counts

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,21 +94,39 @@ def low_variance(df: DataFrame, cols: Sequence[str], threshold: float = 0.01) ->
     return _long(row, cols, [], "column_name", "stddev").filter(F.col("stddev") <= threshold)
 
 
+def pairwise_correlations(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Matrix of Pearson correlations, each over the rows where both columns are known; NaN where one does not vary.
+
+    A row becomes a vector of its values less their means (0 where unknown), their squares, and whether they are known. The Gram matrix of these, one
+    aggregate of one vector per row whatever the number of pairs, holds every pair's count, sums, sums of squares and cross products.
+    """
+    k = len(cols)
+    means = df.agg(*[F.avg(F.col(c).cast("double")) for c in cols]).first()
+    x = [F.coalesce(F.col(c).cast("double") - F.lit(m or 0.0), F.lit(0.0)) for c, m in zip(cols, means, strict=True)]
+    known = [F.col(c).isNotNull().cast("double") for c in cols]
+    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*x, *[v * v for v in x], *known)).alias("v")), "v")
+    gram = RowMatrix(rows, numCols=3 * k).computeGramianMatrix().toArray()
+    n, sx, sxx, sxy = gram[2 * k :, 2 * k :], gram[:k, 2 * k :], gram[k : 2 * k, 2 * k :], gram[:k, :k]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = sxx - sx * sx / n
+        spread = np.where(spread > 1e-12 * sxx, spread, 0.0)
+        return (sxy - sx * sx.T / n) / np.sqrt(spread * spread.T)
+
+
 def correlations(df: DataFrame, cols: Sequence[str], label: str | None = None, threshold: float | None = None) -> DataFrame:
     """Pearson correlation of each column with the label, or of all column pairs, over all rows.
 
-    One aggregate computes every pair; with a threshold only pairs with a larger absolute value stay.
+    With a threshold only pairs with a larger absolute value stay; a pair of which one column does not vary has none.
     """
-    pairs = [(c, label) for c in cols] if label else [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    names = [f"c{i}" for i in range(len(pairs))]
-    row = df.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(n) for n, (a, b) in zip(names, pairs, strict=True)]
-    )
-    who = F.create_map(
-        *[x for n, (a, b) in zip(names, pairs, strict=True) for x in (F.lit(n), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))]
-    )
-    out = _long(row, names, [], "_pair", "correlation").withColumn("_who", F.element_at(who, F.col("_pair")))
-    out = out.select(F.col("_who.a").alias("column_a"), F.col("_who.b").alias("column_b"), "correlation")
+    if label:
+        pairs = [(c, label) for c in cols]
+        row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+        found = [(a, b, v) for (a, b), v in zip(pairs, row, strict=True)]
+    else:
+        matrix = pairwise_correlations(df, cols)
+        found = [(a, b, float(matrix[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    found = [(a, b, None if v is None or v != v else v) for a, b, v in found]
+    out = df.sparkSession.createDataFrame(found, "column_a string, column_b string, correlation double")
     return out if threshold is None else out.filter(F.abs("correlation") > threshold)
 
 
@@ -118,18 +140,31 @@ def flag_balance(df: DataFrame, cols: Sequence[str], rare: float = 0.01) -> Data
 
 def leakage_audit(df: DataFrame, gap: str, limit: float, features: Sequence[str]) -> DataFrame:
     """Per feature, rows whose gap is below the limit although the feature is known; also the rows at risk."""
+    return count_violations(df, leakage_rules(gap, limit, features))
+
+
+def leakage_rules(gap: str, limit: float, features: Sequence[str]) -> dict[str, Column]:
+    """What ``leakage_audit`` counts, by name."""
     risky = F.col(gap) < limit
-    rules: dict[str, Column] = {f"{f}_violations": risky & F.col(f).isNotNull() for f in features}
-    return count_violations(df, rules | {"risk_rows": risky})
+    return {f"{f}_violations": risky & F.col(f).isNotNull() for f in features} | {"risk_rows": risky}
+
+
+def null_metrics(df: DataFrame) -> dict[str, Column]:
+    """Null count of every column, as aggregates to observe while the rows are written."""
+    return {f"nulls_{c}": F.count_if(F.col(c).isNull()) for c in df.columns}
 
 
 def require_no_leakage(df: DataFrame, gap: str, limit: float, features: Sequence[str]) -> DataFrame:
     """The frame unchanged, or an error naming the features that leak."""
-    row = leakage_audit(df, gap, limit, features).first().asDict()
+    refuse_leakage(leakage_audit(df, gap, limit, features).first().asDict(), features)
+    return df
+
+
+def refuse_leakage(row: Mapping[str, int], features: Sequence[str]) -> None:
+    """An error if an audit's counts name features that leak."""
     bad = {f: row[f"{f}_violations"] for f in features if row[f"{f}_violations"]}
     if bad:
         raise ValueError(f"features known before the prediction time limit: {bad}")
-    return df
 
 
 def split_coverage(df: DataFrame, ts: str, split: str = "split") -> DataFrame:

@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Mapping
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -95,5 +97,12 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_observing(df: DataFrame, metrics: Mapping[str, Column], name: str = "stored") -> tuple[DataFrame, dict[str, Any]]:
+    """``stored``, and aggregates over the written rows that are taken while they are written: no scan of their own."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name)
+    return out, seen.get
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
