@@ -12,6 +12,7 @@ from skyfold.operators import quality as Q
 from skyfold.operators.features import clean_nulls, fit_fill, repair_label
 from skyfold.operators.relational import enforce_types
 from skyfold.operators.splits import apply_holdout, holdout
+from skyfold.session import stored
 
 
 def _gappy(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,6 +136,27 @@ def correlated_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(Q.correlations(df, _PAIR_COLS, threshold=0.85), "correlation")
 
 
+_SKETCHED = ["l_orderkey", "l_partkey", "l_suppkey"]
+
+
+@query(
+    f"""WITH m AS (SELECT CASE WHEN g = 0 THEN CAST(year(l_shipdate) AS INTEGER) END AS y, {", ".join(_SKETCHED)} FROM lineitem, range(2) t(g))
+    {" UNION ALL ".join(f"SELECT y AS year, '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, true AS within_error FROM m GROUP BY 1, 2" for c in _SKETCHED)}"""
+)
+def distinct_by_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches kept per month, merged to years and to the whole, against exact counts: within five standard errors."""
+    df = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), *_SKETCHED)
+    kept = stored(Q.distinct_sketches(df, _SKETCHED, ["year", "month"]), "sketches")
+    none = F.lit(None).cast("int").alias("year")
+    merged = Q.merged_distinct(kept, _SKETCHED, ["year"]).unionByName(Q.merged_distinct(kept, _SKETCHED).select(none, *_SKETCHED))
+    exact = df.groupBy("year").agg(*[F.count_distinct(c).alias(c) for c in _SKETCHED])
+    exact = exact.unionByName(df.agg(*[F.count_distinct(c).alias(c) for c in _SKETCHED]).select(none, *_SKETCHED))
+    long = [d.unpivot(["year"], _SKETCHED, "column_name", n) for d, n in ((merged, "estimate"), (exact, "n_distinct"))]
+    same = long[0]["year"].eqNullSafe(long[1]["year"]) & (long[0]["column_name"] == long[1]["column_name"])
+    near = F.abs(F.col("estimate") - F.col("n_distinct")) <= 5 * 0.8 / 64 * F.col("n_distinct") + 1
+    return long[0].join(long[1], same).select(long[1]["year"], long[1]["column_name"], "n_distinct", near.alias("within_error"))
+
+
 #: Sixty columns of the orders' lines: remainders of keys and quantities, every fifth with gaps.
 _WIDE = [f"x{i}" for i in range(60)]
 

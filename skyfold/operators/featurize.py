@@ -178,14 +178,15 @@ def build_features(cfg: FeatureConfig, stats: FeatureStats, like: DataFrame) ->
 
     ``log_scaled_features`` and ``log_unscaled_features`` hold the numerics with skewed ones replaced by
     their logs, standardised or as they are; ``full_unscaled_features`` holds all numerics unlogged. Each
-    is followed by the one-hot block and the flags. ``like`` names the session and the types of the columns.
+    is followed by the one-hot block and the flags; a category without a known training value has no part in it. ``like`` names the
+    session and the types of the columns.
     """
     logs = stats.logs(cfg)
     numeric = sorted([c for c in cfg.numeric if c not in logs.chosen] + [c for c in logs.log_columns if c[:-4] in cfg.numeric])
     stages: list[Any] = [logs.stage(), _scale_stage(numeric, stats)]
     tail: list[str] = list(cfg.flags)
-    if cfg.categorical:
-        cols = list(cfg.categorical)
+    cols = [c for c in cfg.categorical if stats.labels(c)]
+    if cols:
         # One model per column: the constructor pads shorter lists of labels with nulls.
         index = PipelineModel([StringIndexerModel.from_arrays_of_labels([stats.labels(c)], [c], [f"{c}_idx"], handleInvalid="keep") for c in cols])
         # The encoder takes its sizes from the index columns' metadata: no row is needed.

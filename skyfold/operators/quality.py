@@ -67,6 +67,20 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], limit: int | None = None
     return out if limit is None else out.withColumn("over_limit", F.col("n_distinct") > limit)
 
 
+def distinct_sketches(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), lg_k: int = 12) -> DataFrame:
+    """A sketch of the distinct values of every column per group, to keep: a few kilobytes each, whatever the rows.
+
+    Kept per day or fold they are merged for any union of groups by ``merged_distinct`` without reading rows again. The relative standard error
+    is about ``0.8 / sqrt(2 ** lg_k)`` (1.3 % for 12); nulls are not counted.
+    """
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(c, lg_k).alias(c) for c in cols])
+
+
+def merged_distinct(sketches: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Estimated distinct values per group of ``by`` from kept sketches."""
+    return sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in cols])
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their number."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
@@ -101,7 +115,9 @@ def pairwise_correlations(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     aggregate of one vector per row whatever the number of pairs, holds every pair's count, sums, sums of squares and cross products.
     """
     k = len(cols)
-    means = df.agg(*[F.avg(F.col(c).cast("double")) for c in cols]).first()
+    total, *means = df.agg(F.count(F.lit(1)), *[F.avg(F.col(c).cast("double")) for c in cols]).first()
+    if not total:
+        return np.full((k, k), np.nan)
     x = [F.coalesce(F.col(c).cast("double") - F.lit(m or 0.0), F.lit(0.0)) for c, m in zip(cols, means, strict=True)]
     known = [F.col(c).isNotNull().cast("double") for c in cols]
     rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*x, *[v * v for v in x], *known)).alias("v")), "v")

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- filters and projections
@@ -141,13 +141,14 @@ def fallback_join(
 def nearest_per_key(df: DataFrame, key: str, distance: str, tie: str) -> DataFrame:
     """The row with the smallest distance for each key, ties to the smaller ``tie`` value.
 
-    An aggregate, not a window: every task keeps one candidate per key before the shuffle, so a hot
-    key costs no more than any other. Rows without a distance count only when a key has no other.
+    Two steps: a hash aggregate finds each key's smallest distance, a number a key, combined map-side; the rows that have it are joined back, and
+    of those the first by ``tie`` stays, where every task drops all but one row a key before the shuffle. Rows are never
+    sorted or carried through the aggregate. Rows without a distance count only when a key has no other.
     """
-    rest = [c for c in df.columns if c != key]
-    order = F.struct(F.col(distance).isNull(), F.col(distance), F.col(tie))
-    best = df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_best"))
-    return best.select(key, "_best.*")
+    least = df.groupBy(F.col(key).alias("_key")).agg(F.min(distance).alias("_least"))
+    rows = df.join(least, F.col(key).eqNullSafe(F.col("_key")) & F.col(distance).eqNullSafe(F.col("_least"))).drop("_key", "_least")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(tie))
+    return rows.withColumn("_r", first).filter("_r = 1").select(key, *[c for c in df.columns if c != key])
 
 
 def attach_node_metrics(
@@ -166,9 +167,9 @@ def outer_merge(a: DataFrame, b: DataFrame, on: str, fill: float | int | None =
 
 def lookup_first(df: DataFrame, dim: DataFrame, key: str, dim_key: str, cols: Mapping[str, str], order: str) -> DataFrame:
     """Attributes of the first dimension row per key (first by ``order``)."""
-    first = dim.groupBy(dim_key).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_first"))
-    side = first.select(F.col(dim_key), *[F.col("_first")[c].alias(c) for c in cols])
-    return role_join(df, side, dim_key, key, cols)
+    first = F.row_number().over(Window.partitionBy(dim_key).orderBy(F.asc_nulls_last(order)))
+    side = dim.select(dim_key, order, *[c for c in cols if c not in (dim_key, order)]).withColumn("_r", first).filter("_r = 1")
+    return role_join(df, side.select(*dict.fromkeys([dim_key, *cols])), dim_key, key, cols)
 
 
 def edges_within(edges: DataFrame, nodes: DataFrame, src: str, dst: str, node: str = "node") -> DataFrame:
