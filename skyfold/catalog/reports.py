@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -576,3 +578,25 @@ def tagged_means(spark: SparkSession, sf: str) -> DataFrame:
     both = tagged_union(sides, "side")
     aggs = {"mean_balance": F.avg("balance"), "n": F.count(F.lit(1))}
     return rounded(P.summarise_report(both, "side", aggs), "mean_balance")
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS report, concat_ws('|', {", ".join(f'CAST("{c}" AS VARCHAR)' for c in keys)}) AS keys, count(*) AS total_flights,
+        CAST(sum("ARR_DEL15") AS BIGINT) AS delayed_flights, round(100.0 * sum("ARR_DEL15") / count(*), 6) AS delay_pct,
+        sum(CASE WHEN "ARR_DELAY" > 0 THEN "ARR_DELAY" END) AS late_minutes FROM legs GROUP BY ALL"""
+        for name, keys in eda.CUBE_SETS.items()
+    ),
+    legs=True,
+)
+def cube_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve rate reports from the partials of one scan."""
+    reports = eda.reports_from_cube(eda.report_cube(legs(spark, sf)))
+    long = [
+        df.select(
+            F.lit(name).alias("report"), F.concat_ws("|", *[F.col(c).cast("string") for c in eda.CUBE_SETS[name]]).alias("keys"),
+            "total_flights", "delayed_flights", "delay_pct", "late_minutes",
+        )
+        for name, df in reports.items()
+    ]
+    return rounded(reduce(DataFrame.unionByName, long), "delay_pct")

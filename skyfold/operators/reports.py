@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.operators.ordered import exact_quantiles
+from skyfold.session import stored
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -45,6 +46,45 @@ def rate_by(
     return out if min_total is None else out.filter(F.col(total) >= min_total)
 
 
+def rate_cube(df: DataFrame, sets: Sequence[Sequence[str]], flag: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """Additive partials of many reports from one scan: rows, known flags, flagged rows and further sums per grouping set, written once.
+
+    Every set's groups are combined map-side, so the shuffle carries report rows only. ``rates_from`` and ``means_from`` read
+    what ``rate_by`` and ``mean_flag_by`` would give for a set, without the table.
+    """
+    dims = list(dict.fromkeys(c for keys in sets for c in keys))
+    found = df.groupingSets([[F.col(c) for c in keys] for keys in sets], *[F.col(c) for c in dims]).agg(
+        F.grouping_id().alias("_set"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.count(flag).alias("_known"),
+        F.sum(F.col(flag).cast("int")).alias("_flagged"),
+        *[F.sum(c).alias(n) for n, c in (sums or {}).items()],
+    )
+    return stored(found.select(*dims, *[c for c in found.columns if c not in dims]), "cube")
+
+
+def _of_set(cube: DataFrame, keys: Sequence[str]) -> DataFrame:
+    dims = cube.columns[: cube.columns.index("_set")]
+    wanted = sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in keys)
+    return cube.filter(F.col("_set") == wanted)
+
+
+def rates_from(
+    cube: DataFrame, keys: str | Sequence[str], *, min_total: int | None = None, total: str = "total", flagged: str = "flagged", rate_col: str = "rate",
+    sums: Sequence[str] = (),
+) -> DataFrame:
+    """The report ``rate_by`` gives for ``keys``, from a cube that has them as a set."""
+    rows = _of_set(cube, _keys(keys)).select(
+        *_keys(keys), F.col("_rows").alias(total), F.col("_flagged").alias(flagged), *sums, rate(F.col("_flagged"), F.col("_rows")).alias(rate_col)
+    )
+    return rows if min_total is None else rows.filter(F.col(total) >= min_total)
+
+
+def means_from(cube: DataFrame, keys: str | Sequence[str], alias: str = "pct_flagged") -> DataFrame:
+    """The report ``mean_flag_by`` gives for ``keys``."""
+    return _of_set(cube, _keys(keys)).select(*_keys(keys), (F.col("_flagged") / F.nullif(F.col("_known"), F.lit(0))).alias(alias))
+
+
 def count_by(df: DataFrame, keys: str | Sequence[str], alias: str = "n") -> DataFrame:
     return df.groupBy(*_keys(keys)).agg(F.count(F.lit(1)).alias(alias))
 

@@ -30,7 +30,9 @@ from skyfold.operators.reports import (
     mean_flag_by,
     rate,
     rate_by,
+    rate_cube,
     rate_matrix,
+    rates_from,
     resample,
     summarise_report,
 )
@@ -43,6 +45,33 @@ WEEKDAY_NAMES = {i + 1: n for i, n in enumerate(WEEKDAYS)}
 MONTH_NAMES = {i + 1: n for i, n in enumerate(MONTHS)}
 
 
+#: Groupings of the rate reports that a cube holds.
+CUBE_SETS = {
+    "year": ["YEAR"],
+    "airline": [CARRIER],
+    "origin": ["ORIGIN"],
+    "destination": ["DEST"],
+    "weekday": ["DAY_OF_WEEK"],
+    "month": ["MONTH"],
+    "hour_airline": ["CRS_DEP_HOUR", CARRIER],
+    "hour_weekday": ["CRS_DEP_HOUR", "DAY_OF_WEEK"],
+    "quarter_airline": ["YEAR", "QUARTER", CARRIER],
+    "airline_airport": [CARRIER, "ORIGIN"],
+    "route": ["ORIGIN", "DEST"],
+    "day": ["FL_DATE"],
+}
+
+
+def report_cube(flights: DataFrame) -> DataFrame:
+    """Partials of all these groupings from one scan of the flights, written once."""
+    return rate_cube(flights, list(CUBE_SETS.values()), LATE, {"late_minutes": F.when(F.col("ARR_DELAY") > 0, F.col("ARR_DELAY"))})
+
+
+def reports_from_cube(cube: DataFrame) -> dict[str, DataFrame]:
+    """Rate, flights and late minutes of every grouping, read from the cube."""
+    return {name: rates_from(cube, keys, sums=["late_minutes"], **NAMES) for name, keys in CUBE_SETS.items()}
+
+
 def flights_per_year(flights: DataFrame) -> DataFrame:
     return count_by(flights, "YEAR", "num_flights").orderBy("YEAR")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyfold.operators import featurize as X
 from skyfold.operators import quality as Q
 from skyfold.operators import relational as R
+from skyfold.operators import reports as P
 from skyfold.session import stored_observing
 from tests.conftest import rows
 
@@ -82,3 +83,12 @@ def test_built_features_equal_fitted_ones(spark):
         assert train.filter("y = 1").count() == stats.positives and train.filter("y = 0").count() < stats.negatives
     plan = X.feature_statistics(table, cfg, ["fold"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Scan") == 1
+
+
+def test_cube_reads_like_single_reports(spark):
+    df = spark.range(500).selectExpr("id % 3 AS a", "IF(id % 11 = 0, NULL, id % 4) AS b", "IF(id % 13 = 0, NULL, CAST(id % 2 AS INT)) AS late", "CAST(id AS DOUBLE) AS m")
+    cube = P.rate_cube(df, [["a"], ["b"], ["a", "b"], []], "late", {"minutes": F.col("m")})
+    for keys in (["a"], ["b"], ["a", "b"]):
+        assert rows(P.rates_from(cube, keys, min_total=20)) == rows(P.rate_by(df, keys, "late", min_total=20))
+        assert rows(P.means_from(cube, keys)) == rows(P.mean_flag_by(df, keys, "late"))
+    assert P.rates_from(cube, [], sums=["minutes"]).first()["minutes"] == sum(range(500))
