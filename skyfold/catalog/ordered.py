@@ -14,6 +14,8 @@ from skyfold.operators.quality import leakage_audit
 from skyfold.operators.reports import count_by, resample
 from skyfold.operators.splits import ratio_split
 from skyfold.plans import eda
+from skyfold.session import scratch_path
+from skyfold.sources.tables import write_bucketed
 
 # ---------------------------------------------------------------- as-of join
 
@@ -131,6 +133,13 @@ def prev_leg(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_previous(_event_legs(spark, sf), "user_id").select(*_PREV_COLS), *_PREV_COLS[2:5])
 
 
+@query(f"WITH {_prev_sql('user_id')} SELECT * FROM p")
+def prev_leg_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over events written in buckets by key, which the window reads without an exchange."""
+    kept = write_bucketed(_event_legs(spark, sf), scratch_path(spark, "legs"), ["user_id"], sort=["user_id", "ts"])
+    return rounded(_previous(kept, "user_id").select(*_PREV_COLS), *_PREV_COLS[2:5])
+
+
 @query(f"WITH {_prev_sql('event_type')} SELECT * FROM p")
 def prev_leg_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
     """The same with a key of five values, each of which holds a fifth of all rows."""

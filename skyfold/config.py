@@ -214,6 +214,194 @@ MODEL_COLUMNS = [
     "crs_time_to_next_flight_diff_mins",
 ]
 
+# Column groups for modelling.
+LABEL = "ARR_DEL15"
+NUMERIC = [
+    "CRS_ELAPSED_TIME",
+    "DISTANCE",
+    "ORIGIN_LAT",
+    "ORIGIN_LONG",
+    "ORIGIN_ELEVATION_FT",
+    "DEST_LAT",
+    "DEST_LON",
+    "DEST_ELEVATION_FT",
+    "overall_cloud_frac_0_1",
+    "lowest_cloud_ft",
+    "highest_cloud_ft",
+    "HourlyAltimeterSetting",
+    "HourlyWindGustSpeed",
+    "HourlyWindSpeed",
+    "origin_pagerank",
+    "dest_pagerank",
+    "origin_out_degree",
+    "dest_in_degree",
+    "prev_flight_arr_delay_clean",
+    "crs_time_to_next_flight_diff_mins",
+    "actual_to_crs_time_to_next_flight_diff_mins_clean",
+]
+LOG_CANDIDATES = [
+    "CRS_ELAPSED_TIME",
+    "DISTANCE",
+    "ORIGIN_ELEVATION_FT",
+    "DEST_ELEVATION_FT",
+    "lowest_cloud_ft",
+    "highest_cloud_ft",
+    "HourlyWindGustSpeed",
+    "HourlyWindSpeed",
+    "origin_out_degree",
+    "dest_in_degree",
+    "crs_time_to_next_flight_diff_mins",
+    "actual_to_crs_time_to_next_flight_diff_mins_clean",
+]
+FLAGS = [
+    "light",
+    "heavy",
+    "thunderstorm",
+    "rain_or_drizzle",
+    "freezing_conditions",
+    "snow",
+    "hail_or_ice",
+    "reduced_visibility",
+    "spatial_effects",
+    "unknown_precip",
+]
+
+SKY_FLAGS = ["has_few", "has_sct", "has_bkn", "has_ovc"]
+
+# Weather columns carried into the enriched table.
+WEATHER_COLUMNS = (
+    [
+        "STATION",
+        "DATE",
+        "LATITUDE",
+        "LONGITUDE",
+        "ELEVATION",
+        "NAME",
+        "REPORT_TYPE",
+        "SOURCE",
+        "overall_cloud_frac_0_1",
+        "lowest_cloud_ft",
+        "highest_cloud_ft",
+    ]
+    + SKY_FLAGS
+    + ["HourlyAltimeterSetting", "HourlyWindDirection", "HourlyWindGustSpeed", "HourlyWindSpeed"]
+    + WEATHER_FLAGS
+)
+
+# Delay causes, in order.
+CAUSE_COLUMNS = ["CARRIER_DELAY", "WEATHER_DELAY", "NAS_DELAY", "SECURITY_DELAY", "LATE_AIRCRAFT_DELAY"]
+
+# Holidays whose date follows from a rule; see ``skyfold.functions.clock.us_holidays``.
+HOLIDAY_YEARS = range(2015, 2020)
+EXTRA_HOLIDAYS = [("2020-01-01", "New Year's Day")]
+
+# Seconds before the scheduled departure at which a prediction is made (61 min 1 s).
+PREDICTION_GAP_SECONDS = 3661
+
+# As-of enrichment, hours.
+WEATHER_OFFSET_HOURS = 1
+WEATHER_TOLERANCE_HOURS = 8
+
+# What replaces a missing value.
+ZERO_FILL = (
+    CAUSE_COLUMNS
+    + ["overall_cloud_frac_0_1", "lowest_cloud_ft", "highest_cloud_ft"]
+    + SKY_FLAGS
+    + ["HourlyWindDirection", "HourlyWindSpeed", "HourlyWindGustSpeed"]
+    + WEATHER_FLAGS
+    + ["origin_pagerank", "dest_pagerank", "origin_out_degree", "dest_in_degree"]
+    + ["prev_flight_arr_delay_clean", "actual_to_crs_time_to_next_flight_diff_mins_clean"]
+)
+MEDIAN_FILL = ["crs_time_to_next_flight_diff_mins"]
+CONSTANT_FILL = {"HourlyAltimeterSetting": 29.92}
+
+# Columns in which nulls are expected before cleaning.
+EXPECTED_NULLS = (
+    CAUSE_COLUMNS
+    + ["overall_cloud_frac_0_1", "lowest_cloud_ft", "highest_cloud_ft"]
+    + SKY_FLAGS
+    + ["HourlyWindDirection", "HourlyWindSpeed", "HourlyWindGustSpeed", "HourlyAltimeterSetting"]
+    + ["WX_STATION", "MATCHED_OBS_TIME_UTC", "LATITUDE", "LONGITUDE", "ELEVATION", "NAME", "REPORT_TYPE", "SOURCE"]
+    + WEATHER_FLAGS
+)
+
+# Enforced column types.
+TYPES = {c: "double" for c in ["ORIGIN_LAT", "ORIGIN_LONG", "HourlyAltimeterSetting", "DEST_LAT", "DEST_LON"]} | {
+    c: "int"
+    for c in [
+        "ARR_DEL15",
+        "CARRIER_DELAY",
+        "NAS_DELAY",
+        "SECURITY_DELAY",
+        "LATE_AIRCRAFT_DELAY",
+        "HourlyWindGustSpeed",
+        "HourlyWindSpeed",
+        "HourlyWindDirection",
+    ]
+}
+
+# Columns of the model table.
+MODEL_COLUMNS = [
+    "YEAR",
+    "QUARTER",
+    "MONTH",
+    "DAY_OF_MONTH",
+    "DAY_OF_WEEK",
+    "IS_US_HOLIDAY",
+    "OP_UNIQUE_CARRIER",
+    "TAIL_NUM",
+    "ORIGIN",
+    "ORIGIN_STATE_ABR",
+    "DEST",
+    "DEST_STATE_ABR",
+    "CRS_DEP_TIME_BLOCK",
+    "CRS_DEP_DATETIME_UTC",
+    "CRS_ARR_TIME_BLOCK",
+    "ARR_DEL15",
+    "CRS_ELAPSED_TIME",
+    "CARRIER_DELAY",
+    "NAS_DELAY",
+    "SECURITY_DELAY",
+    "LATE_AIRCRAFT_DELAY",
+    "DISTANCE",
+    "ORIGIN_LAT",
+    "ORIGIN_LONG",
+    "ORIGIN_ELEVATION_FT",
+    "ORIGIN_SIZE",
+    "DEST_LAT",
+    "DEST_LON",
+    "DEST_ELEVATION_FT",
+    "DEST_SIZE",
+    "overall_cloud_frac_0_1",
+    "lowest_cloud_ft",
+    "highest_cloud_ft",
+    "has_few",
+    "has_sct",
+    "has_bkn",
+    "has_ovc",
+    "HourlyAltimeterSetting",
+    "HourlyWindCardinalDirection",
+    "HourlyWindGustSpeed",
+    "HourlyWindSpeed",
+    "light",
+    "heavy",
+    "thunderstorm",
+    "rain_or_drizzle",
+    "freezing_conditions",
+    "snow",
+    "hail_or_ice",
+    "reduced_visibility",
+    "spatial_effects",
+    "unknown_precip",
+    "origin_pagerank",
+    "dest_pagerank",
+    "origin_out_degree",
+    "dest_in_degree",
+    "prev_flight_arr_delay_clean",
+    "actual_to_crs_time_to_next_flight_diff_mins_clean",
+    "crs_time_to_next_flight_diff_mins",
+]
+
 # Column groups for modelling.
 LABEL = "ARR_DEL15"
 NUMERIC = [
@@ -285,10 +473,17 @@ TUNING_CATEGORICAL = [
     "CRS_DEP_TIME_BLOCK",
     "CRS_ARR_TIME_BLOCK",
 ]
-FINAL_NUMERIC = (
-    "CRS_ELAPSED_TIME DEST_LON DEST_ELEVATION_FT overall_cloud_frac_0_1 lowest_cloud_ft HourlyAltimeterSetting "
-    "dest_in_degree crs_time_to_next_flight_diff_mins actual_to_crs_time_to_next_flight_diff_mins_clean"
-).split()
+FINAL_NUMERIC = [
+    "CRS_ELAPSED_TIME",
+    "DEST_LON",
+    "DEST_ELEVATION_FT",
+    "overall_cloud_frac_0_1",
+    "lowest_cloud_ft",
+    "HourlyAltimeterSetting",
+    "dest_in_degree",
+    "crs_time_to_next_flight_diff_mins",
+    "actual_to_crs_time_to_next_flight_diff_mins_clean",
+]
 FINAL_CATEGORICAL = [
     "OP_UNIQUE_CARRIER",
     "ORIGIN",
