@@ -93,7 +93,8 @@ def main() -> int:
             else:
                 found, note = None, f"rows only: {df.count()}"
         except Exception as e:  # noqa: BLE001
-            found, note = "error", f"ERROR {type(e).__name__}: {str(e)[:600]}"
+            causes = [x for x in str(e).splitlines() if x.startswith("Caused by")]
+            found, note = "error", f"ERROR {type(e).__name__}: {str(e)[:600]} {' '.join(causes)[:1500]}"
         bad += found is not None
         print(f"{name:32s} {time.time() - began:6.2f}s {note}", flush=True)
     print(f"{bad} bad")
