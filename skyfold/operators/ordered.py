@@ -8,10 +8,8 @@ running total) is a table of one row per segment.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,14 +54,10 @@ def cut_by_sketch(df: DataFrame, order: str, descending: bool, rows_per_segment:
     cuts = sorted({quantiles[round(i * SKETCH_STEPS / n) - 1] for i in range(1, n)}) if quantiles else []
     if n > SKETCH_STEPS // 2 or len(cuts) < n - 1:
         return None
-    place = F.lit(0)
-    if cuts:
-        finder = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_x", outputCol="_bucket", handleInvalid="keep")
-        df = finder.transform(df.withColumn("_x", x))
-        place = F.col("_bucket").cast("int")
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= x)) if cuts else F.lit(0)
     place = F.when(F.isnan(x), n).otherwise(place)
     seg = F.when(x.isNull(), 1 if descending else -1).otherwise(-place if descending else place)
-    return stored(df.withColumn("_seg", seg).drop("_x", "_bucket"), "segments")
+    return stored(df.withColumn("_seg", seg), "segments")
 
 
 def _cut(df: DataFrame, order: str, descending: bool, order_by: Sequence[Column], rows_per_segment: int) -> DataFrame:
