@@ -72,7 +72,7 @@ def fit_fill(
     accuracy: int | None = 100,
     observed: Mapping[str, Any] | None = None,
 ) -> FillPolicy:
-    """Zeros, medians (read from ``df``, or as ``observed`` while it was written) and constants by column; absent columns are skipped."""
+    """Zeros, medians (read from ``df``, or as ``observed`` already) and constants by column; absent columns are skipped."""
     known = observed or {}
     values: dict[str, float] = {c: 0 for c in zero if c in df.columns}
     values |= {c: known[f"median_{c}"] if f"median_{c}" in known else median(df, c, accuracy) for c in medians if c in df.columns}
@@ -81,7 +81,7 @@ def fit_fill(
 
 
 def cleaning_metrics(df: DataFrame, medians: Sequence[str], accuracy: int | None = 100) -> dict[str, Column]:
-    """What ``clean_nulls`` must know of a table, as aggregates to observe while it is written; exact medians are not among them."""
+    """What ``clean_nulls`` must know of a table, as aggregates; exact medians are not among them."""
     middle = {c: F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy) for c in medians if c in df.columns and accuracy is not None}
     return null_metrics(df) | {f"median_{c}": v for c, v in middle.items()}
 
@@ -98,7 +98,7 @@ def clean_nulls(
     """Filled frame, columns still holding nulls, and a report of nulls per column before and after.
 
     The report also says whether nulls were expected in the column; expected columns that the frame lacks are listed without counts. One pass counts the nulls, or
-    none if ``observed`` has them from the job that wrote ``df`` (``cleaning_metrics``); what a fill leaves over follows from it.
+    none if ``observed`` has them already (``cleaning_metrics``); what a fill leaves over follows from it.
     """
     policy = fit_fill(df, zero, medians, constants, accuracy, observed)
     if observed is None:

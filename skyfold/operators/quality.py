@@ -166,7 +166,7 @@ def leakage_rules(gap: str, limit: float, features: Sequence[str]) -> dict[str,
 
 
 def null_metrics(df: DataFrame) -> dict[str, Column]:
-    """Null count of every column, as aggregates to observe while the rows are written."""
+    """Null count of every column, as aggregates."""
     return {f"nulls_{c}": F.count_if(F.col(c).isNull()) for c in df.columns}
 
 

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -97,11 +97,14 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_observing(df: DataFrame, metrics: Mapping[str, Column], name: str = "stored") -> tuple[DataFrame, dict[str, Any]]:
-    """``stored``, and aggregates over the written rows that are taken while they are written: no scan of their own."""
-    seen = Observation()
-    out = stored(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name)
-    return out, seen.get
+def stored_measured(df: DataFrame, metrics: Mapping[str, Column], name: str = "stored") -> tuple[DataFrame, dict[str, Any]]:
+    """``stored``, and aggregates over the written rows, all from one scan of the columns they need.
+
+    Not observed in the writing job: a session that has held an ``Observation`` can no longer run forests' predictions (their
+    closures reach the session, whose observation manager is not serialisable).
+    """
+    out = stored(df, name)
+    return out, out.agg(*[c.alias(n) for n, c in metrics.items()]).first().asDict()
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -13,7 +13,7 @@ from skyfold.operators import featurize as X
 from skyfold.operators import quality as Q
 from skyfold.operators import relational as R
 from skyfold.operators import reports as P
-from skyfold.session import stored_observing
+from skyfold.session import stored_measured
 from tests.conftest import rows
 
 
@@ -32,9 +32,9 @@ def test_pairwise_correlations_against_pairs_alone(spark):
 
 def test_observed_metrics_equal_a_scan(spark):
     df = spark.range(1000).selectExpr("id", "IF(id % 3 = 0, NULL, id) AS a", "IF(id % 7 = 0, NULL, 'x') AS b").repartition(5)
-    kept, seen = stored_observing(df, Q.null_metrics(df))
+    kept, seen = stored_measured(df, Q.null_metrics(df))
     assert {c: seen[f"nulls_{c}"] for c in df.columns} == {r["column_name"]: r["null_count"] for r in Q.null_profile(kept).collect()}
-    _, seen = stored_observing(df.limit(0), Q.null_metrics(df))
+    _, seen = stored_measured(df.limit(0), Q.null_metrics(df))
     assert all(v == 0 for v in seen.values())
 
 
