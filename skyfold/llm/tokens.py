@@ -7,7 +7,8 @@ files out to tasks again.
 
 Encoding is the tokenizer's own, with one saving: text never joins over white space in this kind of vocabulary (white space is
 dropped), so each distinct word is encoded once per worker and kept. Its normaliser, splitter and merges are the library's. Words that
-hold a special token or rarer white space are encoded whole.
+hold a special token or rarer white space are encoded whole. If the normaliser lower-cases, ASCII letters are lower-cased before the store is asked, in texts
+without combining marks (some compose with small letters only).
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows of equal id are ordered by a hash of
 their text; an empty table writes no file and reads as no rows.
@@ -16,6 +17,8 @@ their text; an empty table writes no file and reads as no rows.
 from __future__ import annotations
 
 import json
+import re
+import string
 import sys
 import zlib
 from array import array
@@ -33,8 +36,10 @@ from skyfold.session import scratch_path, shuffle_width
 END_ID = 2
 #: Most words and word pieces a worker keeps encoded; beyond that it starts anew.
 KEPT_WORDS = 300_000
-#: Letters below this are known as such to every version of Unicode in use; these marks are pieces by themselves.
-_LATIN_END, _MARKS = "\u0250", ".,;:!?"
+#: Letters below this are known as such to every version of Unicode in use; a run of these marks after letters is one piece.
+_LATIN_END, _MARKS = "\u0250", string.punctuation.replace("'", "")
+#: First bytes of the combining marks U+0300 to U+036F in UTF-8 (and of some letters beside them).
+_COMBINING = re.compile(rb"[\xcc\xcd]")
 
 
 def _raw(ids: list[int]) -> bytes:
@@ -57,8 +62,10 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
         self.letters: dict[str, str] = {}
-        self.marks = {m: self._ids(m) for m in _MARKS}
+        self.marks: dict[str, bytes] = {"": b""}
         self.special = [t["content"] for t in spec["added_tokens"]]
+        norm = spec["normalizer"] or {}
+        self.lowers = any(n["type"] == "Lowercase" for n in norm.get("normalizers", [norm]) if n)
 
     def _ids(self, text: str) -> bytes:
         return _raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -71,6 +78,8 @@ class WordEncoder:
     def _learn(self, fresh: list[bytes]) -> None:
         if len(self.pieces) > self.kept:
             self.pieces.clear()
+        if len(self.marks) > self.kept:
+            self.marks = {"": b""}
         words, pieces, letters = self.words, self.pieces, self.letters
         joined = b"\n".join(fresh).decode()
         if any(x in joined for x in self.special) or len(joined.split()) != len(fresh):
@@ -85,7 +94,7 @@ class WordEncoder:
             return
         split, merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         for part, w in zip(parts, fresh, strict=True):
-            body, mark = (part[:-1], part[-1]) if part[-1] in _MARKS else (part, "")
+            body = part.rstrip(_MARKS)
             ids = pieces.get(body)
             if ids is None:
                 if body.isascii():
@@ -95,30 +104,40 @@ class WordEncoder:
                 else:
                     name = None
                 if name is None:
-                    words[w] = b"".join([_raw([t.id for t in merge(p)]) for p, _ in split(part)])
+                    words[w] = _raw([t.id for p, _ in split(part) for t in merge(p)])
                     continue
                 ids = pieces[body] = _raw([t.id for t in merge(name)])
-            if mark:
+            if len(body) < len(part):
+                mark = part[len(body) :]
+                if mark not in self.marks:
+                    self.marks[mark] = self._ids(mark)
                 ids += self.marks[mark]
             words[w] = ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as raw little-endian bytes, without an end id."""
-        out = []
+        out, words = [], self.words
         for text in texts:
-            split = text.split()
-            fresh = {w for w in split if w not in self.words}
+            split = self._folded(text).split()
+            fresh = set(split).difference(words)
             if len(fresh) > self.kept // 4:  # one giant text: no use in keeping its words
                 out.append(self._ids(text.decode()))
                 continue
-            if len(self.words) + len(fresh) > self.kept:
-                self.words.clear()
+            if len(words) + len(fresh) > self.kept:
+                words.clear()
                 fresh = set(split)
             if fresh:
                 self._learn(list(fresh))
-            out.append(b"".join([self.words[w] for w in split]))
+            out.append(b"".join(map(words.__getitem__, split)))
         return out
 
+    def _folded(self, text: bytes) -> bytes:
+        """The text with ASCII letters lower-cased where that cannot change its ids."""
+        if not self.lowers or _COMBINING.search(text):
+            return text
+        low = text.lower()
+        return text if any(x.lower().encode() in low for x in self.special) else low
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
