@@ -2,8 +2,9 @@
 
 The tree has a fixed depth: a line goes to a leaf by its number of tokens and its first ``DEPTH`` tokens (tokens with a
 digit count as variable). In a leaf, a token that stands at its place in lines of few documents is a variable field; the others are
-constant. A line's template is its leaf with its constant tokens. Templates of at least ``LEAST_DOCS`` different texts, and of mostly
-constant tokens, recur: their lines are dropped everywhere.
+constant, those with a digit too. A line's template is its leaf with its constant tokens. Templates of mostly constant tokens recur, and their lines are dropped
+everywhere, if they stand in at least ``LEAST_DOCS`` different texts; in lines of more than ``LONG_LINE`` tokens, ``LONG_DOCS`` texts are
+enough (the same bounds say what few documents are for a token): so long a passage does not come twice by chance. The three leading tokens are told apart unless they hold a digit.
 
 Equal texts count as one document here (whole copies are for document dedup to find). Only lines in leaves of enough documents are taken apart into tokens;
 everything else leaves after one count per leaf. All counts are exact and taken over all documents; hot lines meet as
@@ -23,6 +24,8 @@ from skyfold.session import stored
 
 DEPTH = 3
 LEAST_DOCS = 5
+#: Lines of more tokens than this are passages, which recur from so many texts on.
+LONG_LINE, LONG_DOCS = 50, 2
 #: Percent of a line's tokens that must be constant.
 CONSTANT = 60
 VARIABLE = "<*>"
@@ -36,6 +39,11 @@ def _masked(token: Column) -> Column:
     return F.when(F.regexp(token, F.lit("[0-9]")), F.lit(VARIABLE)).otherwise(token)
 
 
+def _least(n: Column, least_docs: int) -> Column:
+    """Texts that a template of ``n`` tokens must stand in."""
+    return F.when(n > LONG_LINE, F.least(F.lit(LONG_DOCS), F.lit(least_docs))).otherwise(F.lit(least_docs))
+
+
 def _lines(texts: DataFrame) -> DataFrame:
     """One row per line with a token: ``tie``, ``line`` (its number), ``leaf`` and ``toks``."""
     lines = texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("line", "content"))
@@ -47,26 +55,26 @@ def _lines(texts: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Lines to drop: per text (``tie``) the numbers (``gone``) of its lines with a recurring template."""
     texts = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("tie"), "text")
-    seen = stored(_lines(texts).select("leaf", "tie").distinct(), "leaves")
-    live = seen.groupBy("leaf").agg(F.count("*").alias("k")).filter(F.col("k") >= least_docs).select("leaf")
+    seen = stored(_lines(texts).select("leaf", "tie", F.size("toks").alias("n")).distinct(), "leaves")
+    enough = F.col("k") >= _least(F.col("n"), least_docs)  # a leaf has one number of tokens
+    live = seen.groupBy("leaf").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter(enough).select("leaf")
     mine = seen.join(live, "leaf", "left_semi").groupBy("tie").agg(F.collect_set("leaf").alias("live"))
 
     # What joins the texts grows with the corpus, so it is never broadcast, at any size.
     held = _lines(texts.join(mine.hint("merge"), "tie")).filter(F.array_contains("live", F.col("leaf"))).drop("live")
     held = stored(held.dropDuplicates(["tie", "line"]), "lines")
     tokens = held.select("tie", "line", "leaf", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "tok"))
-    tokens = tokens.filter(_masked(F.col("tok")) != VARIABLE)
-    constant = tokens.select("leaf", "at", "tok", "tie").distinct().groupBy("leaf", "at", "tok").agg(F.count("*").alias("k"))
-    constant = constant.filter(F.col("k") >= least_docs).drop("k")
+    constant = tokens.select("leaf", "n", "at", "tok", "tie").distinct().groupBy("leaf", "at", "tok").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    constant = constant.filter(enough).drop("k", "n")
     shapes = (
         tokens.join(constant, ["leaf", "at", "tok"])
         .groupBy("tie", "line", "leaf", "n")
         .agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(at, tok))").alias("shape"))
         .filter(100 * F.col("k") >= CONSTANT * F.col("n"))
     )
-    shapes = stored(shapes.select("tie", "line", "leaf", "shape"), "shapes")
-    often = shapes.select("leaf", "shape", "tie").distinct().groupBy("leaf", "shape").agg(F.count("*").alias("k"))
-    often = often.filter(F.col("k") >= least_docs)
+    shapes = stored(shapes.select("tie", "line", "leaf", "n", "shape"), "shapes")
+    often = shapes.select("leaf", "n", "shape", "tie").distinct().groupBy("leaf", "shape").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    often = often.filter(enough)
     return shapes.join(often, ["leaf", "shape"], "left_semi").groupBy("tie").agg(F.collect_set("line").alias("gone"))
 
 
@@ -98,12 +106,11 @@ l AS (SELECT text, i - 1 AS line, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')
 leafed AS (SELECT text, line, toks, len(toks) AS n,
                   list_transform(toks[1:{DEPTH}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{VARIABLE}' ELSE x END) AS leaf
            FROM l WHERE len(toks) > 0),
-tok AS (SELECT text, line, n, leaf, i AS place, toks[i] AS tok FROM leafed, unnest(range(1, n + 1)) AS u(i)
-        WHERE NOT regexp_matches(toks[i], '[0-9]')),
-constant AS (SELECT n, leaf, place, tok FROM tok GROUP BY ALL HAVING count(DISTINCT text) >= {LEAST_DOCS}),
+tok AS (SELECT text, line, n, leaf, i AS place, toks[i] AS tok FROM leafed, unnest(range(1, n + 1)) AS u(i)),
+constant AS (SELECT n, leaf, place, tok FROM tok GROUP BY ALL HAVING count(DISTINCT text) >= CASE WHEN n > {LONG_LINE} THEN {LONG_DOCS} ELSE {LEAST_DOCS} END),
 shapes AS (SELECT text, line, n, leaf, string_agg(place || ':' || tok, ' ' ORDER BY place) AS shape
            FROM tok JOIN constant USING (n, leaf, place, tok) GROUP BY text, line, n, leaf HAVING 100 * count(*) >= {CONSTANT} * n),
-often AS (SELECT n, leaf, shape FROM shapes GROUP BY ALL HAVING count(DISTINCT text) >= {LEAST_DOCS}),
+often AS (SELECT n, leaf, shape FROM shapes GROUP BY ALL HAVING count(DISTINCT text) >= CASE WHEN n > {LONG_LINE} THEN {LONG_DOCS} ELSE {LEAST_DOCS} END),
 gone AS (SELECT text, list(line) AS gone FROM shapes JOIN often USING (n, leaf, shape) GROUP BY text)
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,

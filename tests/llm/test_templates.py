@@ -19,6 +19,19 @@ def test_templates_generalise_variable_fields(spark, duck_docs):
     assert difference(templates.line_report(df), con, sql) is None
 
 
+def test_long_passages_and_digits(spark, duck_docs):
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    short = " ".join(passage.split()[:50])
+    rows = [(1, f"first\n{passage}\nof one"), (2, f"second\n{passage}"), (3, f"third\n{short}"), (4, f"fourth\n{short}")]
+    rows += [(10 + i, f"text {c}\nPage 1 of 10\nTel. {i}{i}{i} 0{i}00") for i, c in enumerate("abcdef")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in templates.line_report(df).collect()}
+    assert got[1] == "first\nof one" and got[2] == "second" and got[3] == f"third\n{short}"
+    assert got[12] == "text c\nTel. 222 0200"
+    con, sql = duck_docs(df, templates.LINES_SQL)
+    assert difference(templates.line_report(df), con, sql) is None
+
+
 def test_against_sql(spark, odd, none, duck_docs):
     for df in (odd, documents(spark, "/root/testdata/sf0.001")):
         con, sql = duck_docs(df, templates.LINES_SQL)
