@@ -8,7 +8,7 @@ The prefix sum is the row's rank times a constant, and ranks are found without o
 (source, size), then per (source, size, id bucket), then a row number inside each bucket.
 
 Defined cases: null or empty texts have size 0 and take no words; a null source is a source of its own, last; null ids come first;
-equal rows are interchangeable; an empty table gives no rows.
+rows of one id, source and size are ordered by a hash of all their columns, so reruns agree in any row order; equal rows are interchangeable; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -72,7 +72,9 @@ def with_copies(docs: DataFrame, carry: bool, seed: str = SEED) -> DataFrame:
     """Every row with ``_copies``, its source's size and target; ``carry`` keeps the whole row as ``_row``."""
     keys = (_source_key().alias("_key"), F.col("doc_id").alias("_id"), word_count(whole_text()).alias("_size"), _bucket().alias("_bucket"))
     rows = packed(docs, *keys) if carry else docs.select(*keys, F.col("source").alias("_source"))
-    narrow = stored(rows.drop("_row"), "mix")
+    if carry:
+        rows = rows.withColumn("_tie", F.xxhash64("_row"))
+    narrow = stored(rows.drop("_row", "_tie"), "mix")
     if not carry:
         rows = narrow
 
@@ -87,7 +89,7 @@ def with_copies(docs: DataFrame, carry: bool, seed: str = SEED) -> DataFrame:
         .join(by_size, ["_key", "_size"])
         .select("_key", "_size", "_bucket", (F.col("_longer") + F.col("_earlier")).alias("_base"), "_source_size", "_target")
     )
-    inside = Window.partitionBy("_key", "_size", "_bucket").orderBy("_id")
+    inside = Window.partitionBy("_key", "_size", "_bucket").orderBy("_id", *["_tie"] * carry)
     ranked = rows.withColumn("_n", F.row_number().over(inside)).join(bases, ["_key", "_size", "_bucket"])
     each = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     rank = F.col("_base") + F.col("_n")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -58,3 +59,13 @@ def test_mixed_rows_and_odd_rows(spark, odd, none):
     assert +got == +words
     assert mixing.mix_report(odd).count() == len(odd_rows())
     assert mixing.mix_report(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+def test_mix_is_the_same_in_any_row_order(spark):
+    rows = [(7, f"word{i} and two", "a" if i % 5 else "b") for i in range(40)]
+    mixes = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(seed + 1)
+        mixes.append(sorted(r.text for r in mixing.mix(df).collect()))
+    assert mixes[0] == mixes[1] == mixes[2] and len(set(mixes[0])) < 40
