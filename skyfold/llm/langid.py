@@ -8,6 +8,11 @@ Training takes a bounded sample: about ``SAMPLE_DOCS`` labelled texts per langua
 each, at random places. Stretches of several languages are joined into code-switched chains, from which the transitions are learned. The
 model is a table of fixed size and goes to the executors with the code; documents are then labelled whole, where they are read.
 
+To reject texts in no learned language (``in_known_language``) the field's labels are checked against what the sample shows of a language: a word is as
+familiar as the share of its letters' three- and four-byte n-grams (with end marks) that the sample has in the language of its label, and a text as its words are in the
+mean. The least familiarity of a text is learned from the sample too, from stretches of its own second half and from strangers: stretches that are labelled by the other
+languages alone, and words of random letters.
+
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing can be learned from; a null
 language teaches nothing; every row gives a row; texts above ``CHAIN_WORDS`` words are labelled as several chains; an empty table gives
 no rows.
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +41,15 @@ FEATURE_BITS = 17
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.15, 1e-5
 CHAIN_WORDS = 1_000_000
 _BLOCK_BYTES = 4 << 20
+#: Table of the n-grams a language is known by, and familiar words added to each text, so that few words alone reject none.
+KNOWN_BITS, KNOWN_ORDERS, GIVEN_WORDS = 20, (3, 4), 2
+#: An n-gram belongs to a language above this share of the n-grams in the language's stretches.
+KNOWN_SHARE = 5e-5
+#: Shares of own and of strange stretches of the sample that the least familiarity lies between.
+OWN_LOW, STRANGE_HIGH = 0.1, 0.9
+_JUDGED_BLOCK_BYTES = 2 << 20
 _LETTER = re.compile(r"[^\W\d_]")
+_NO_LETTER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
@@ -46,9 +60,11 @@ class Model:
     moves: np.ndarray  # label before, label
     start: np.ndarray
     lexicon: dict[str, int]  # word, number of its language
+    known: np.ndarray | None = None  # n-gram, label: whether the sample has it in the language
+    least: float = 0.0  # least familiarity of a text in the learned languages
 
 
-def _ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _ngrams(words: list[str], bits: int = FEATURE_BITS, orders: Sequence[int] = (2, 3, 4)) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of two to four bytes of each word between end marks (so affixes are n-grams with a mark), and whose they are."""
     raw = [b"\x01" + w.encode() + b"\x02" for w in words]
     flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
@@ -57,9 +73,11 @@ def _ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = flat.copy()
     for n in range(2, 5):
         code = (code[:-1] << np.uint64(8)) | flat[n - 1 :]
+        if n not in orders:
+            continue
         whole = owner[: len(code)] == owner[n - 1 :]
         h = (code[whole] + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)
-        features.append((h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
+        features.append((h >> np.uint64(64 - bits)).astype(np.int64))
         owners.append(owner[: len(code)][whole])
     f, o = np.concatenate(features), np.concatenate(owners)
     order = np.argsort(o, kind="stable")
@@ -196,8 +214,55 @@ def fit(pieces: list[tuple[str, list[str]]], seed: int = 11) -> Model:
     return model
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """A model of the labelled documents outside the held-out fold; None if there are none."""
+def _letters_of(words: list[str]) -> list[str]:
+    """The words without the digits and marks around and inside them."""
+    return [w if w.isalpha() else _NO_LETTER.sub("", w) for w in words]
+
+
+def _known(pieces: list[tuple[int, list[str]]], n: int) -> np.ndarray:
+    """Which n-grams each label's stretches hold often enough: texts of a language also quote others."""
+    known = np.zeros((1 << KNOWN_BITS, n), bool)
+    for k in range(n):
+        seen = Counter(w for j, ws in pieces if j == k for w in _letters_of(ws))
+        if seen:
+            f, o = _ngrams(list(seen), KNOWN_BITS, KNOWN_ORDERS)
+            times = np.bincount(f, weights=np.array(list(seen.values()))[o], minlength=len(known))
+            known[:, k] = times > KNOWN_SHARE * times.sum()
+    return known
+
+
+def familiarity(words: list[str], known: np.ndarray) -> np.ndarray:
+    """Per word and label the share of the word's n-grams that the label's language is known by."""
+    f, o = _ngrams(_letters_of(words), KNOWN_BITS, KNOWN_ORDERS)
+    all_ = np.maximum(np.bincount(o, minlength=len(words)), 1)
+    return np.column_stack([np.bincount(o, weights=known[f, k], minlength=len(words)) / all_ for k in range(known.shape[1])])
+
+
+def learn_strangers(model: Model, pieces: list[tuple[str, list[str]]], seed: int = 12) -> Model:
+    """Adds to a model what its languages are known by, and how familiar a text in them is at least."""
+    rng = np.random.default_rng(seed)
+    number = {k: i for i, k in enumerate(model.labels)}
+    data = [(number[k], ws) for k, ws in sorted(pieces) if ws]
+    half = _known(data[::2], len(model.labels))
+    letters = sorted({c for _, ws in data for w in ws for c in w if c.isalpha()})
+    own, strange = [], []
+    for k, ws in data[1::2]:
+        share = familiarity(ws, half)
+        own.append(share[:, k].mean())
+        if share.shape[1] > 1:
+            strange.append(np.delete(share, k, axis=1).max(axis=1).mean())
+        junk = ["".join(letters[i] for i in rng.integers(0, len(letters), len(w))) for w in ws]
+        strange.append(familiarity(junk, half).max(axis=1).mean())
+    if own:
+        low, high = float(np.quantile(own, OWN_LOW)), float(np.quantile(strange, STRANGE_HIGH))
+        # Languages alike in their n-grams cannot be told from strangers: then texts stay rather than go.
+        model.least = min((low + high) / 2, low)
+    model.known = _known(data, len(model.labels))
+    return model
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strangers: bool = False) -> Model | None:
+    """A model of the labelled documents outside the held-out fold; None if there are none. ``strangers``: it can tell other languages from its own."""
     usable = docs.filter((fold_of("doc_id", FOLDS) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -210,11 +275,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     windows = [F.slice("words", (F.floor(unit("doc_id", "text", F.lit(i)) * spare) + 1).cast("int"), WINDOW_WORDS) for i in range(WINDOWS)]
     rows = drawn.select("lang", "doc_id", "text", words.alias("words")).select("lang", F.array(*windows).alias("w")).collect()
     pieces = [(r["lang"], [w for w in ws if _LETTER.search(w)]) for r in rows for ws in r["w"]]
-    return fit(pieces) if any(ws for _, ws in pieces) else None
+    if not any(ws for _, ws in pieces):
+        return None
+    model = fit(pieces)
+    return learn_strangers(model, pieces) if strangers else model
 
 
-def label(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``tie`` (hash of the text), ``lang_pred``, ``score`` and ``certainty``."""
+def label(docs: DataFrame, model: Model | None, block_bytes: int = _BLOCK_BYTES) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``tie`` (hash of the text), ``lang_pred``, ``score`` and ``certainty`` (see ``label_texts``)."""
     ship(docs.sparkSession)
 
     def blocks(batches):
@@ -224,7 +292,7 @@ def label(docs: DataFrame, model: Model | None) -> DataFrame:
                 text = row[2].as_py()
                 block.append((row[0], row[1], text))
                 size += len(text)
-                if size >= _BLOCK_BYTES:
+                if size >= block_bytes:
                     yield block
                     block, size = [], 0
         if block:
@@ -249,7 +317,11 @@ def label(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def label_texts(texts: list[str], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and certainty (mean of the words' largest marginals) of each text; without a model letters are certain."""
+    """Language, score and certainty of each text; without a model letters are certain.
+
+    Certainty is the mean of the words' largest marginals; of a model that knows strangers, the text's familiarity: the mean share of known n-grams of its
+    words in the languages of their labels, with ``GIVEN_WORDS`` familiar words added.
+    """
     lang, score, certainty = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     if model is None:
         return lang, score, np.array([float(_LETTER.search(t) is not None) for t in texts])
@@ -276,12 +348,18 @@ def label_texts(texts: list[str], model: Model | None) -> tuple[list[str], np.nd
     mean *= lettered[flat][:, None]
     full = np.flatnonzero(sizes)
     sums = np.add.reduceat(mean, (ends - sizes)[full], axis=0)
-    sure = np.add.reduceat(mean.max(axis=1), (ends - sizes)[full])
+    best, given = mean.max(axis=1), 0
+    if model.known is not None:
+        given = GIVEN_WORDS
+        shares = np.zeros_like(emit)
+        shares[lettered] = familiarity([w for w, x in zip(words, lettered, strict=True) if x], model.known)
+        best = shares[flat, mean.argmax(axis=1)]
+    sure = np.add.reduceat(best, (ends - sizes)[full])
     counts = np.add.reduceat(lettered[flat].astype(np.int64), (ends - sizes)[full])
     for i, s, m, c in zip(full.tolist(), sums, sure.tolist(), counts.tolist(), strict=True):
         if c:
             k = int(np.argmax(s))
-            lang[i], score[i], certainty[i] = model.labels[k], min(1.0, float(s[k]) / c), min(1.0, m / c)
+            lang[i], score[i], certainty[i] = model.labels[k], min(1.0, float(s[k]) / c), min(1.0, (m + given) / (c + given))
     return lang, score, certainty
 
 
@@ -290,14 +368,15 @@ def identify(docs: DataFrame) -> DataFrame:
     return label(docs, train(docs)).select("doc_id", (fold_of("doc_id", FOLDS) == HELD).alias("held_out"), "lang_pred", "score")
 
 
-def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and whose words' own best labels have a mean probability of at least ``least``.
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and words as familiar, in the languages of their labels, as texts of the learned languages are.
 
     A text may be in several languages; if nothing can be learned, all texts with letters stay.
     """
-    found = label(docs, train(docs))
+    model = train(docs, strangers=True)
+    found = label(docs, model, _JUDGED_BLOCK_BYTES)
     # The rejected are the few: they are named by id and text, so every other row stays as it is.
-    bad = found.filter(F.col("certainty") < least)
+    bad = found.filter((F.col("certainty") == 0) | (F.col("certainty") < (model.least if model else 0.0)))
     bad = stored(bad.select(F.col("doc_id").alias("_bad_id"), F.col("tie").alias("_bad_tie")).distinct(), "rejected")
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("_tie"))
     same = row["_id"].eqNullSafe(bad["_bad_id"]) & (row["_tie"] == bad["_bad_tie"])

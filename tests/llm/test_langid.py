@@ -73,3 +73,16 @@ def test_texts_in_three_languages_stay(spark):
     assert [r.doc_id for r in langid.in_known_language(df).filter("doc_id >= 1000000000").collect()] == [10**9]
     plain = spark.createDataFrame([*mixed, (1, None, None), (2, "", None)], docs.schema)
     assert [r.doc_id for r in langid.in_known_language(plain).collect()] == [10**9]
+
+
+def test_strangers_go_and_clean_texts_stay(spark):
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    junk = [(10**9 + i, " ".join("".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(40)), None) for i in range(50)]
+    rows = docs.collect()
+    left = docs.filter("lang <> 'es'").union(spark.createDataFrame([*junk, *[(r.doc_id, r.text, None) for r in rows if r.lang == "es"]], docs.schema))
+    kept = {r.doc_id for r in langid.in_known_language(left).collect()}
+    strange, own = {r.doc_id for r in rows if r.lang == "es"}, {r.doc_id for r in rows if r.lang not in (None, "es")}
+    assert not kept & {i for i, _, _ in junk}
+    assert len(strange) > 50 and len(kept & strange) <= 0.1 * len(strange) and len(kept & own) >= 0.99 * len(own)

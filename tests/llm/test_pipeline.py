@@ -17,7 +17,8 @@ def test_stages(spark):
     docs = documents(spark, SF)
     (_, language), (_, near), (_, leaks), (_, mix), (_, files) = corpus_pipeline.STAGES
     one = language(spark, docs, SF)
-    known = {r.doc_id for r in langid.label(docs, langid.train(docs)).collect() if r.lang_pred != "und" and r.score >= 0.5}
+    model = langid.train(docs, strangers=True)
+    known = {r.doc_id for r in langid.label(docs, model).collect() if r.lang_pred != "und" and r.certainty >= model.least}
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == known
     two = near(spark, one, SF).cache()
     rows = [(r.doc_id, r.text) for r in one.collect()]
