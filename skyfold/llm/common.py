@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import pathlib
+import sys
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Workers are kept for the next task, and what they hold counts beside their executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def lean(read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``read``, a function for ``mapInArrow``, that gives its memory back when its task is over."""
+
+    @functools.wraps(read)
+    def run(batches):
+        yield from read(batches)
+        give_back()
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import ship, whole_text
+from skyfold.llm.common import lean, ship, whole_text
 from skyfold.session import stored
 
 #: Offsets each mask looks at.
@@ -225,7 +225,7 @@ def _regions(docs: DataFrame, table: np.ndarray, masks: list[tuple[int, ...]], r
 
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("text"))
-    found = rows.mapInArrow(read, REGIONS)
+    found = rows.mapInArrow(lean(read), REGIONS)
     # Numbers count within a task; the task's own number makes them unique in the table that is written once.
     return found.withColumn("region", F.monotonically_increasing_id())
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.llm import segments
-from skyfold.llm.common import ship, whole_text
+from skyfold.llm.common import give_back, ship, whole_text
 from skyfold.llm.components import components
 from skyfold.session import stored
 
@@ -71,7 +71,7 @@ def _key(tokens: np.ndarray) -> np.ndarray:
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys >> np.uint64(8)).astype(np.int64) % buckets
+    return ((keys >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
 
 
 SETS = "doc_id long, tie long, n long, sig string, tokens binary"
@@ -87,15 +87,19 @@ def shared_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         shingler = Shingler(words)
         found, held, size = [], [], 0
-        for text in segments.unpacked(table).column("text"):
-            held.append(_key(shingler.of(text.as_py())))
-            size += len(held[-1])
+        for own in (_key(shingler.of(text.as_py())) for text in segments.unpacked(table).column("text")):
+            held.append(own)
+            size += len(own)
             if size > 1 << 21:
                 found.append(segments.runs(np.concatenate(held)))
                 held, size = [], 0
         found.append(segments.runs(np.concatenate([*held, np.empty(0, np.uint64)])))
+        del shingler, held
         keys, counts = segments.counted(found)
-        return segments.asked_rows(table.column("seg")[0].as_py(), keys, counts, _bucket(keys, buckets))
+        out = segments.asked_rows(table.column("seg")[0].as_py(), keys, counts, _bucket(keys, buckets))
+        del keys, counts
+        give_back()
+        return out
 
     asked = rows.groupBy("seg").applyInArrow(ask, segments.ASKED)
     answers = segments.answer(asked, lambda keys, counts: np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
@@ -104,8 +108,11 @@ def shared_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         table = segments.unpacked(table)
         shingler = Shingler(words)
         sets = [shingler.of(text.as_py()) for text in table.column("text")]
+        table = table.drop_columns(["text"])
+        del shingler
         keys = segments.runs(np.concatenate([np.empty(0, np.uint64), *map(_key, sets)]))[0]
         seen = segments.answers_of(got, keys, _bucket(keys, buckets), np.uint32)
+        give_back()
         sigs, tokens, told = [], [], set()
         for s in sets:
             often = seen[np.searchsorted(keys, _key(s))]
@@ -118,11 +125,14 @@ def shared_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             else:
                 sigs.append(None)
                 tokens.append(None)
+        sizes = [len(s) for s in sets]
+        del sets, keys, seen
+        give_back()
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
                 "tie": table.column("tie"),
-                "n": pa.array([len(s) for s in sets], pa.int64()),
+                "n": pa.array(sizes, pa.int64()),
                 "sig": pa.array(sigs, pa.string()),
                 "tokens": pa.array(tokens, pa.binary()),
             }

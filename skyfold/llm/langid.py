@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import WORD, fold_of, ship, whole_text
+from skyfold.llm.common import WORD, fold_of, lean, ship, whole_text
 from skyfold.session import stored
 
 FOLDS, HELD = 4, 2
@@ -313,7 +313,7 @@ def label(docs: DataFrame, model: Model | None, block_bytes: int = _BLOCK_BYTES)
 
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(read, "doc_id long, tie long, lang_pred string, score double, certainty double")
+    return rows.mapInArrow(lean(read), "doc_id long, tie long, lang_pred string, score double, certainty double")
 
 
 def label_texts(texts: list[str], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import whole_text
+from skyfold.llm.common import give_back, lean, whole_text
 
 #: Bytes of text in a segment, and bytes of text per bucket of keys.
 SEGMENT_BYTES = 16 << 20
@@ -72,7 +72,7 @@ def segmented(docs: DataFrame, total: int, *extra) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(pack, "seg int, body binary")
+    return rows.mapInArrow(lean(pack), "seg int, body binary")
 
 
 def unpacked(table: pa.Table) -> pa.Table:
@@ -113,16 +113,25 @@ def unpack_values(raw: bytes, n: int, kind) -> np.ndarray:
 
 
 def counted(chunks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
-    keys = np.concatenate([k for k, _ in chunks]) if chunks else np.empty(0, np.uint64)
-    counts = np.concatenate([c for _, c in chunks]) if chunks else np.empty(0, np.int64)
-    if len(chunks) > 1:
+    """Distinct keys in order and the sums of their counts. Empties ``chunks``: they are not held beside what is made of them."""
+    if not chunks:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    ordered = len(chunks) == 1
+    keys, counts = chunks[0] if ordered else (np.concatenate([c[i] for c in chunks]) for i in (0, 1))
+    chunks.clear()
+    if not ordered:
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
+        keys = keys[order]
+        counts = counts[order]
+        del order
     if not len(keys):
         return keys, counts
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    if new.all():
+        return keys, counts
+    counts = np.add.reduceat(counts, np.flatnonzero(new))
+    return keys[new], counts
 
 
 def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,17 +143,23 @@ def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], np.diff(np.append(first, len(a)))
 
 
+def _bounds(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each bucket that occurs, and where its keys begin and end in the order of buckets."""
+    sizes = np.bincount(bucket)
+    ids, ends = np.flatnonzero(sizes), np.cumsum(sizes)
+    return [(int(b), int(ends[b] - sizes[b]), int(ends[b])) for b in ids]
+
+
 ASKED = "seg int, bucket int, n int, keys binary, counts binary"
 ANSWERED = "seg int, bucket int, n int, answers binary"
 
 
 def asked_rows(seg: int, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.Table:
     """One packed row per bucket of a segment's keys. ``keys`` ascend; ``bucket`` gives each its bucket."""
-    order = np.argsort(bucket, kind="stable")
-    keys, counts, bucket = keys[order], counts[order], bucket[order]
-    ids, sizes = runs(bucket.copy())
-    ends = np.cumsum(sizes)
-    out = [(int(b), int(n), pack_keys(keys[e - n : e]), pack_values(counts[e - n : e].astype(np.int64))) for b, n, e in zip(ids, sizes, ends, strict=True)]
+    order, out = np.argsort(bucket, kind="stable"), []
+    for b, lo, hi in _bounds(bucket):
+        some = order[lo:hi]
+        out.append((b, hi - lo, pack_keys(keys[some]), pack_values(counts[some].astype(np.int64))))
     return pa.table(
         {
             "seg": pa.array([seg] * len(out), pa.int32()),
@@ -170,9 +185,12 @@ def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarra
     def solve(table: pa.Table) -> pa.Table:
         distinct, totals = all_asked(table)
         values = reply(distinct, totals)
+        del totals
         packed = []
         for raw, n in zip(table.column("keys"), table.column("n").to_pylist(), strict=True):
             packed.append(pack_values(values[np.searchsorted(distinct, unpack_keys(raw.as_py(), n))]))
+        del distinct, values
+        give_back()
         return table.select(["seg", "bucket", "n"]).append_column("answers", pa.array(packed, pa.binary()))
 
     return asked.groupBy("bucket").applyInArrow(solve, ANSWERED)
@@ -181,9 +199,7 @@ def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarra
 def answers_of(table: pa.Table, keys: np.ndarray, bucket: np.ndarray, kind) -> np.ndarray:
     """The answers a segment got, in the order of its ``keys``."""
     order = np.argsort(bucket, kind="stable")
-    ids, sizes = runs(bucket[order])
-    ends = np.cumsum(sizes)
-    place = {int(b): (int(e - n), int(e)) for b, n, e in zip(ids, sizes, ends, strict=True)}
+    place = {b: (lo, hi) for b, lo, hi in _bounds(bucket)}
     sorted_values = np.empty(len(keys), kind)
     for b, n, raw in zip(table.column("bucket").to_pylist(), table.column("n").to_pylist(), table.column("answers"), strict=True):
         lo, hi = place[b]

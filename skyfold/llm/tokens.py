@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import ship, whole_text
+from skyfold.llm.common import lean, ship, whole_text
 from skyfold.llm.seekable import Reader, Writer, open_fs
 from skyfold.session import scratch_path, shuffle_width
 
@@ -182,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(files or shuffle_width(spark), F.asc_nulls_first("doc_id"), "tie")
     rows = rows.sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie").drop("tie")
-    manifest = rows.mapInArrow(write, "shard long, file string, n_docs long, n_tokens long")
+    manifest = rows.mapInArrow(lean(write), "shard long, file string, n_docs long, n_tokens long")
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
