@@ -40,6 +40,8 @@ LEXICON, LEXICON_SHARE = 4000, 0.9
 FEATURE_BITS = 17
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.15, 1e-5
 CHAIN_WORDS = 1_000_000
+#: Distinct words whose n-grams are held at once.
+SCORED_WORDS = 1 << 14
 _BLOCK_BYTES = 4 << 20
 #: Table of the n-grams a language is known by, and familiar words added to each text, so that few words alone reject none.
 KNOWN_BITS, KNOWN_ORDERS, GIVEN_WORDS = 20, (3, 4), 2
@@ -100,10 +102,11 @@ def _features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np
 def _scores(words: list[str], model: Model) -> np.ndarray:
     """Per word and label the sum of its features' weights; words without letters say nothing."""
     out = np.zeros((len(words), len(model.labels)))
-    if words:
-        f, o = _features(words, model.lexicon)
+    for lo in range(0, len(words), SCORED_WORDS):
+        some = words[lo : lo + SCORED_WORDS]
+        f, o = _features(some, model.lexicon)
         for k in range(out.shape[1]):
-            out[:, k] = np.bincount(o, weights=model.weights[f, k], minlength=len(words))
+            out[lo : lo + len(some), k] = np.bincount(o, weights=model.weights[f, k], minlength=len(some))
     return out
 
 
@@ -233,9 +236,14 @@ def _known(pieces: list[tuple[int, list[str]]], n: int) -> np.ndarray:
 
 def familiarity(words: list[str], known: np.ndarray) -> np.ndarray:
     """Per word and label the share of the word's n-grams that the label's language is known by."""
-    f, o = _ngrams(_letters_of(words), KNOWN_BITS, KNOWN_ORDERS)
-    all_ = np.maximum(np.bincount(o, minlength=len(words)), 1)
-    return np.column_stack([np.bincount(o, weights=known[f, k], minlength=len(words)) / all_ for k in range(known.shape[1])])
+    out = np.zeros((len(words), known.shape[1]))
+    for lo in range(0, len(words), SCORED_WORDS):
+        some = words[lo : lo + SCORED_WORDS]
+        f, o = _ngrams(_letters_of(some), KNOWN_BITS, KNOWN_ORDERS)
+        all_ = np.maximum(np.bincount(o, minlength=len(some)), 1)
+        for k in range(known.shape[1]):
+            out[lo : lo + len(some), k] = np.bincount(o, weights=known[f, k], minlength=len(some)) / all_
+    return out
 
 
 def learn_strangers(model: Model, pieces: list[tuple[str, list[str]]], seed: int = 12) -> Model:

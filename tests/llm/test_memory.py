@@ -59,3 +59,17 @@ def test_tasks_give_their_memory_back(none, monkeypatch):
         before = held_mb()
         assert not list(read(batches()))
         assert held_mb() - before < 60
+
+
+def test_words_are_scored_some_at_a_time(monkeypatch):
+    pieces = [("aa", ["the", "house", "stands"]), ("bb", ["das", "haus", "steht"])] * 4
+    model = langid.learn_strangers(langid.fit(pieces), pieces)
+    words = [f"house{i}steht" for i in range(120_000)]
+    tracemalloc.start()
+    scores, shares = langid._scores(words, model), langid.familiarity(words, model.known)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120 << 20
+    monkeypatch.setattr(langid, "SCORED_WORDS", len(words))
+    assert (scores == langid._scores(words, model)).all() and (shares == langid.familiarity(words, model.known)).all()
+    assert langid._scores([], model).shape == langid.familiarity([], model.known).shape == (0, 2)
